@@ -50,7 +50,7 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES):
 
 def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of the texts, each followed by a newline, and each text's start (one more: the end)."""
-    ended = pc.binary_join_element_wise(pc.fill_null(texts.cast(pa.large_string()), ""), "", "\n")
+    ended = pc.binary_join_element_wise(pc.fill_null(texts.cast(pa.large_string()), ""), *(pa.scalar(s, pa.large_string()) for s in ("", "\n")))
     if isinstance(ended, pa.ChunkedArray):
         ended = ended.combine_chunks()
     offsets = np.frombuffer(ended.buffers()[1], np.int64)[ended.offset : ended.offset + len(ended) + 1]
