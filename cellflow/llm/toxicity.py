@@ -17,10 +17,10 @@ from cellflow.llm._shared import doc_columns
 WIDTH = 16
 #: Length of the subsequences counted, and what each letter they span costs.
 ORDER, DECAY = 3, 0.6
-#: Share of a landmark's distinct letters that a word must have for its kernel to be computed; below it counts as 0.
-COVERED = 0.7
-#: Words this similar to a landmark count as like it, and as the same.
-LIKE, SAME = 0.8, 0.97
+#: Shares of a landmark's distinct letters and letter pairs that a word must have for its kernel to be computed; below it counts as 0.
+COVERED, PAIRED = 0.7, 0.5
+#: Kernels below the first count as 0; words at the others count as like a landmark, and as the same.
+FLOOR, LIKE, SAME = 0.5, 0.8, 0.97
 MARKS = re.compile(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
@@ -50,6 +50,13 @@ def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return value * DECAY**2
 
 
+def pair_masks(codes: np.ndarray) -> np.ndarray:
+    """A 64-bit set of each word's neighbouring letters, by hash."""
+    first, second = codes[:, :-1].astype(np.uint64), codes[:, 1:].astype(np.uint64)
+    at = (first * np.uint64(0x9E3779B1) + second * np.uint64(0x85EBCA77)) >> np.uint64(7) & np.uint64(63)
+    return np.bitwise_or.reduce(np.where(second != 0, np.uint64(1) << at, np.uint64(0)), axis=1)
+
+
 def letter_masks(codes: np.ndarray) -> np.ndarray:
     """A 64-bit set of each word's letters."""
     bits = np.where(codes != 0, np.uint64(1) << (codes % 61).astype(np.uint64), np.uint64(0))
@@ -61,8 +68,7 @@ class Landmarks:
 
     def __init__(self, words: list[str]):
         self.words, self.codes = words, letters(words)
-        self.masks = letter_masks(self.codes)
-        self.least = np.ceil(COVERED * np.bitwise_count(self.masks)).astype(np.uint8)
+        self.tests = [(of, mask := of(self.codes), np.ceil(share * np.bitwise_count(mask)).astype(np.uint8)) for of, share in ((letter_masks, COVERED), (pair_masks, PAIRED))]
         self.own = np.maximum(kernel(self.codes, self.codes), 1e-12) if words else np.zeros(0, np.float32)
 
     def compare(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,20 +81,43 @@ class Landmarks:
                     at.append(i)
                     windows.append(word[k : k + WIDTH])
         codes = letters(windows)
-        masks = letter_masks(codes)
-        rows, marks = np.nonzero(np.bitwise_count(masks[:, None] & self.masks[None, :]) >= self.least[None, :])
+        near: list[tuple[np.ndarray, np.ndarray]] = []
+        for a in range(0, len(codes), 8192):
+            enough = np.ones((min(8192, len(codes) - a), len(self.words)), bool)
+            for of, mask, least in self.tests:
+                enough &= np.bitwise_count(of(codes[a : a + 8192])[:, None] & mask[None, :]) >= least[None, :]
+            r, m = np.nonzero(enough)
+            near.append((r + a, m))
+        rows, marks = (np.concatenate(c) for c in zip(*near, strict=True)) if near else (np.zeros(0, np.int64),) * 2
         if not len(rows):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-        values = np.empty(len(rows), np.float32)
-        for a in range(0, len(rows), 20_000):
-            r, m = rows[a : a + 20_000], marks[a : a + 20_000]
-            values[a : a + 20_000] = kernel(codes[r], self.codes[m]) / np.sqrt(self.own[m])
         used = np.unique(rows)
         norm = np.ones(len(codes), np.float32)
-        for a in range(0, len(used), 20_000):
-            u = used[a : a + 20_000]
-            norm[u] = np.sqrt(np.maximum(kernel(codes[u], codes[u]), 1e-12))
-        return np.array(at, np.int64)[rows], marks, np.minimum(values / norm[rows], 1)
+        norm[used] = np.sqrt(np.maximum(by_length(codes[used], codes[used]), 1e-12))
+        values = by_length(codes[rows], self.codes[marks]) / (np.sqrt(self.own[marks]) * norm[rows])
+        strong = values >= FLOOR
+        return np.array(at, np.int64)[rows[strong]], marks[strong], np.minimum(values[strong], 1)
+
+
+def by_length(s: np.ndarray, t: np.ndarray, block: int = 4096) -> np.ndarray:
+    """``kernel`` in blocks of pairs of like length."""
+    out = np.empty(len(s), np.float32)
+    order = np.argsort((s != 0).sum(1), kind="stable")
+    for a in range(0, len(s), block):
+        part = order[a : a + block]
+        out[part] = kernel(s[part], t[part])
+    return out
+
+
+_readers: dict[tuple, "Reader"] = {}
+
+
+def reader_of(words: list[str]) -> "Reader":
+    """The worker's reader for these landmarks; it keeps what it learned for later tasks."""
+    if tuple(words) not in _readers:
+        _readers.clear()
+        _readers[tuple(words)] = Reader(words)
+    return _readers[tuple(words)]
 
 
 class Reader:
@@ -103,61 +132,64 @@ class Reader:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.found = _tokens.Slots(self.bits), [(np.zeros(0, np.int64), np.zeros(0, np.float32))]
+        """Entries are runs of pairs: entry k is ``marks[first[k]:first[k + 1]]`` with their values; entry 0 is empty."""
+        self.known, self.first = _tokens.Slots(self.bits), np.zeros(2, np.int64)
+        self.marks, self.values = np.zeros(0, np.int64), np.zeros(0, np.float32)
 
-    def learn(self, hashes: np.ndarray, words: list[str]) -> np.ndarray:
-        """Numbers of the words' entries in ``found``; 0 for those without any kernel."""
+    def learn(self, words: list[str]) -> np.ndarray:
+        """Numbers of the words' new entries; 0 for words like no landmark."""
         at, marks, values = self.landmarks.compare(words)
-        entry = np.zeros(len(words), np.int64)
         order = np.argsort(at, kind="stable")
-        at, marks, values = at[order], marks[order], values[order]
-        edges = np.flatnonzero(np.diff(at, prepend=-1))
-        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(at)], strict=True):
-            entry[at[a]] = len(self.found)
-            self.found.append((marks[a:b], values[a:b]))
-        self.known.put(hashes, entry)
+        entry = np.zeros(len(words), np.int64)
+        has, sizes = np.unique(at, return_counts=True)
+        entry[has] = len(self.first) - 1 + np.arange(len(has))
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+        self.marks, self.values = np.concatenate([self.marks, marks[order]]), np.concatenate([self.values, values[order]])
         return entry
 
     def features(self, texts: pa.Array) -> np.ndarray:
         n_marks = len(self.landmarks.words)
-        if len(self.found) > self.most:
+        if len(self.first) > self.most:
             self.forget()
         hashes, starts, ends, bounds, data = _text.words_of(texts, _text.NOT_SPACE)
         entry, known = self.known.get(hashes)
         new = np.flatnonzero(~known)
         if len(new):
             distinct, back, words = _tokens.unseen(hashes[new], starts[new], ends[new], data)
-            entry[new] = self.learn(distinct, words)[back]
-        out = np.zeros((len(texts), 3 * n_marks), np.float32)
+            learned = self.learn(words)
+            self.known.put(distinct, learned)
+            entry[new] = learned[back]
         hits = np.flatnonzero(entry)
-        doc_of = np.searchsorted(bounds, hits, "right") - 1
-        extra = self.spelled(starts, ends, bounds, data)
-        for doc, k in [*zip(doc_of.tolist(), entry[hits].tolist(), strict=True), *extra]:
-            marks, values = self.found[k]
-            np.maximum.at(out[doc, :n_marks], marks, values)
-            np.add.at(out[doc, n_marks:], marks[values >= LIKE], 1)
-            np.add.at(out[doc, n_marks:], n_marks + marks[values >= SAME], 1)
+        docs, entries = self.spelled(starts, ends, bounds, data)
+        docs = np.concatenate([np.searchsorted(bounds, hits, "right") - 1, docs])
+        entries = np.concatenate([entry[hits], entries])
+        sizes = self.first[entries + 1] - self.first[entries]
+        pairs = np.repeat(self.first[entries] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        cells, values = np.repeat(docs, sizes) * 3 * n_marks + self.marks[pairs], self.values[pairs]
+        out = np.zeros(len(texts) * 3 * n_marks, np.float32)
+        np.maximum.at(out, cells, values)
+        for k, least in ((1, LIKE), (2, SAME)):
+            np.add.at(out, cells[values >= least] + k * n_marks, np.float32(1))
+        out = out.reshape(len(texts), 3 * n_marks)
         out[:, n_marks:] = np.log1p(out[:, n_marks:])
         return out
 
-    def spelled(self, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, data: np.ndarray) -> list[tuple[int, int]]:
-        """``(text, entry)`` of words spelled out: three or more single letters in a row."""
+    def spelled(self, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts and entries of words spelled out: three or more single letters in a row, split by white space."""
         single = ends - starts == 1
         found: dict[str, list[int]] = {}
         turns = np.flatnonzero(np.diff(np.concatenate([[False], single, [False]]).astype(np.int8)))
-        for a, b in zip(turns[0::2].tolist(), turns[1::2].tolist(), strict=True):
-            if b - a >= ORDER:
+        long = np.flatnonzero(turns[1::2] - turns[0::2] >= ORDER)
+        for a, b in zip(turns[0::2][long].tolist(), turns[1::2][long].tolist(), strict=True):
+            while a < b:  # a run may go on in the next text
                 doc = int(np.searchsorted(bounds, a, "right")) - 1
-                b = min(b, int(bounds[doc + 1]))
-                found.setdefault(bytes(data[starts[a:b]]).decode("ascii", "ignore"), []).append(doc)
-        if not found:
-            return []
-        entry = np.zeros(len(found), np.int64)
-        at, marks, values = self.landmarks.compare(list(found))
-        for i in np.unique(at).tolist():
-            entry[i] = len(self.found)
-            self.found.append((marks[at == i], values[at == i]))
-        return [(doc, k) for docs, k in zip(found.values(), entry.tolist(), strict=True) if k for doc in docs]
+                stop = min(b, int(bounds[doc + 1]))
+                found.setdefault(bytes(data[starts[a:stop]]).decode("ascii", "ignore"), []).append(doc)
+                a = stop
+        entry = self.learn(list(found))
+        pairs = [(doc, k) for docs, k in zip(found.values(), entry.tolist(), strict=True) if k for doc in docs]
+        docs, entries = zip(*pairs, strict=True) if pairs else ((), ())
+        return np.array(docs, np.int64), np.array(entries, np.int64)
 
 
 def whitening(words: list[str]) -> np.ndarray:
@@ -244,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, n_landmarks: i
     n = len(top)
 
     def read(batches):
-        reader = Reader(top)
+        reader = reader_of(top)
         for batch in batches:
             x = reader.features(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in x], pa.binary())], ["toxic", "x"])
@@ -284,7 +316,7 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
 
     def run(batches):
         model = sent.value
-        reader = Reader(model["words"]) if model["words"] else None
+        reader = reader_of(model["words"]) if model["words"] else None
         for batch in batches:
             texts = batch.column(1)
             margin = np.full(len(texts), model["weights"][-1])
