@@ -34,6 +34,14 @@ def doc_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def hashed_sample(df: DataFrame, most: int, *cols: str) -> DataFrame:
+    """At most about ``most`` rows, those whose hash of ``cols`` is low enough: the same ones in every run."""
+    rows = df.count()
+    if rows <= most:
+        return df
+    return df.where(F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) < int(most / rows * (1 << 40)))
+
+
 def buckets(spark: SparkSession, per_task: int = 4) -> int:
     """Groups to deal out by hash: some for each shuffle partition, so it follows the cluster's setting."""
     return max(16, per_task * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

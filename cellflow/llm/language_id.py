@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellflow.llm import _text
-from cellflow.llm._shared import doc_columns
+from cellflow.llm._shared import doc_columns, hashed_sample
 
 #: Bytes read in one go; state starts anew at each such stretch.
 STRETCH = 64
@@ -133,12 +133,13 @@ def stretched(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def fit(docs: DataFrame, sample: int = 3000, per_text: int = 12, seed: int = 5) -> tuple[dict, list[str]]:
-    """A network learned from at most ``sample`` labelled rows, the first by hash of their id.
+    """A network learned from about ``sample`` labelled rows at most, chosen by hash of their id.
 
     ``docs`` needs doc_id, text and lang; rows without text or lang don't count.
     From each text up to ``per_text`` stretches are drawn, from anywhere in it.
     """
-    rows = docs.where("lang IS NOT NULL AND length(text) > 0").select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).toPandas()
+    labelled = docs.where("lang IS NOT NULL AND text <> ''").select("doc_id", "text", "lang")
+    rows = hashed_sample(labelled, sample, "doc_id").toPandas().sort_values(["doc_id", "text"])
     langs = sorted(rows["lang"].unique())
     if not langs:
         return {}, []

@@ -134,7 +134,7 @@ def phrase_places(hashes: np.ndarray, bounds: np.ndarray, phrase: list[np.uint64
     return at[np.searchsorted(bounds, at, "right") == np.searchsorted(bounds, at + n - 1, "right")]
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.9) -> DataFrame:
     """License labels of every whole text.
 
     Words are runs of ASCII letters and digits and anything beyond ASCII,

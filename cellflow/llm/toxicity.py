@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellflow.llm import _text, _tokens
-from cellflow.llm._shared import doc_columns
+from cellflow.llm._shared import doc_columns, hashed_sample
 
 #: Letters of a word compared at once; longer words are read in windows half as far apart.
 WIDTH = 16
@@ -237,7 +237,7 @@ def gapped(words: list[str], rng: np.random.Generator) -> list[str]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, n_landmarks: int = 128, seed: int = 3) -> dict:
-    """Learn from at most ``sample`` labelled documents, the first by hash of their id.
+    """Learn from about ``sample`` labelled documents at most, chosen by hash of their id.
 
     Landmarks are the words that speak most for label 1.  A document is the
     Nyström image of its closest words, with the counts of words like each
@@ -247,8 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, n_landmarks: i
     """
     spark = docs.sparkSession
     chosen = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = [(r.doc_id, r.toxic) for r in chosen.collect()]  # at most `sample` rows
+    rows = sorted((r.doc_id, r.toxic) for r in hashed_sample(chosen, sample, "doc_id").collect())  # about `sample` rows at most
     nothing = {"words": [], "weights": np.zeros(1), "scale": np.array([1.0, -5.0])}
     if not rows:
         return nothing
