@@ -19,7 +19,7 @@ class Forest:
     of all vectors and a split makes it smaller; a tight cluster stays whole.
     """
 
-    def __init__(self, sample: np.ndarray, rows: int, threshold: float, trees: int = 5, leaf: int = 1024, seed: int = 17):
+    def __init__(self, sample: np.ndarray, rows: int, threshold: float, trees: int = 5, leaf: int = 512, seed: int = 17):
         self.overlap = 0.5 * np.sqrt(2 * (1 - threshold) / max(1, sample.shape[1]))
         self.least = max(16, leaf * len(sample) / max(1, rows))
         rng = np.random.default_rng(seed)
@@ -93,31 +93,29 @@ def compare(group: pd.DataFrame, forest: Forest, threshold: float, block: int =
     group = group.drop_duplicates(["rep", "block"]).sort_values("rep")
     leaf, low, high = (int(group[c].iloc[0]) for c in ("leaf", "low", "high"))
     unit = units(stacked(group["vector"]))
+    single = unit.astype(np.float32)
     blocks, copies = group["block"].to_numpy(), group["copies"].to_numpy()
-    row, at = forest.leaves(unit.astype(np.float32))
+    row, at = forest.leaves(single)
     earlier = at < leaf
     row, at = row[earlier], at[earlier]
-    order = np.lexsort((at, row))
-    row, at = row[order], at[order]
-    met = np.full((len(group), np.bincount(row, minlength=len(group)).max(initial=0)), -1)
-    met[row, np.arange(len(row)) - np.searchsorted(row, row)] = at
-    kinds, kind = np.unique(met, axis=0, return_inverse=True)
-    kind = kind.reshape(-1)
+    names, at = np.unique(at, return_inverse=True)
+    sets = np.zeros((len(group), len(names) // 64 + 1), np.uint64)  # each vector's earlier leaves, a bit each
+    np.bitwise_or.at(sets, (row, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
     links = np.zeros(len(group), np.int64)
     root = np.arange(len(group))
     first, second = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
     for a in range(0, len(first), block):
         for b in range(0, len(second), block):
             p, q = first[a : a + block], second[b : b + block]
-            i, j = np.nonzero(unit[p] @ unit[q].T >= threshold)
+            i, j = np.nonzero(single[p] @ single[q].T >= threshold - 1e-4)
             i, j = p[i], q[j]
             keep = i < j if low == high else np.ones(len(i), bool)
             i, j = i[keep], j[keep]
+            keep = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold  # in double precision
+            i, j = i[keep], j[keep]
             if not len(i):
                 continue
-            pair, back = np.unique(kind[i] * np.int64(len(kinds)) + kind[j], return_inverse=True)
-            shared = np.array([bool(np.intersect1d(x[x >= 0], y[y >= 0]).size) for x, y in ((kinds[k // len(kinds)], kinds[k % len(kinds)]) for k in pair.tolist())])
-            new = ~shared[back]
+            new = ~(sets[i] & sets[j]).any(1)
             np.add.at(links, i[new], copies[j[new]])
             np.add.at(links, j[new], copies[i[new]])
             while True:  # the smaller root of each pair, until all agree
@@ -136,7 +134,7 @@ def compare(group: pd.DataFrame, forest: Forest, threshold: float, block: int =
     return pd.DataFrame({"rep": rep[used], "links": links[used], "root": rep[root[used]]})
 
 
-def deduplicate(embeddings: DataFrame, threshold: float = 0.95, trees: int = 5, leaf: int = 1024, sample: int = 32_768, tile: int = 2048) -> DataFrame:
+def deduplicate(embeddings: DataFrame, threshold: float = 0.95, trees: int = 5, leaf: int = 512, sample: int = 32_768, tile: int = 2048) -> DataFrame:
     """Near-duplicate classes of all vectors, by cosine in double precision.
 
     The forest is fitted on at most about ``sample`` vectors, chosen by hash;
