@@ -85,7 +85,7 @@ def edit_distances(item: list[int], words: list[int], anchored: bool = False) ->
 class Index:
     """Items by size, their signatures, and the runs of words that a window near an item must share with it."""
 
-    def __init__(self, items: list[Item], recall: float, places: int = 3, agree: float = 0.5):
+    def __init__(self, items: list[Item], recall: float, places: int = 2, agree: float = 0.4):
         self.items = items
         repetitions = math.ceil(math.log(1 - recall) / math.log(1 - agree**places))
         self.walks: dict[int, Walks] = {}
