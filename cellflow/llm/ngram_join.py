@@ -19,15 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellflow.llm import _fold, _graph, _text
+from cellflow.llm import _fold, _graph, _postings, _text
 from cellflow.llm._shared import buckets, cut, doc_columns
 
 #: Classes of frequent shingles.
 CLASSES = 8
 #: Counters of shingles, and how many times the mean count makes a frequent one (at least so many).
 COUNTER_BITS, TIMES_MEAN, LEAST = 20, 6, 64
-#: Postings and documents that a map task holds before it passes them on.
-POSTINGS, TABLE = 2_000_000, 60_000
 #: A key of up to so many documents gives all its pairs at once.
 FEW = 3
 #: Documents compared with one other in a group.
@@ -83,32 +81,12 @@ def keys_of(own: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
 
 
 def postings(docs: DataFrame, n: int, percent: int, frequent, ways: int) -> DataFrame:
-    """Packed postings ``(bucket, keys, rows, ids, sizes, marks)``: 48-bit keys, each with a row of the documents beside them.
-
-    Documents with equal sets go in once from each task.
-    """
+    """Packed postings of all documents' keys; documents with equal sets go in once from each task."""
 
     def run(batches):
         hot = np.unpackbits(frequent.value).astype(bool)
         seen: set[tuple[int, int]] = set()
-        keys, rows, ids, sizes, marks, held = [], [], [], [], [], 0
-
-        def flush():
-            all_keys = np.concatenate(keys)
-            all_rows = np.repeat(np.arange(len(ids)), rows)
-            at = ((all_keys >> np.uint64(16)) % np.uint64(ways)).astype(np.int64)
-            order = np.argsort(at, kind="stable")
-            edges = np.searchsorted(at[order], np.arange(ways + 1))
-            table = np.array(ids, np.int64), np.array(sizes, np.int32), np.array(marks, np.uint64)
-            out: dict[str, list] = {c: [] for c in ("bucket", "keys", "rows", "ids", "sizes", "marks")}
-            for b in np.flatnonzero(np.diff(edges)).tolist():
-                part = order[edges[b] : edges[b + 1]]
-                used, local = np.unique(all_rows[part], return_inverse=True)
-                packed = np.ascontiguousarray(all_keys[part], "<u8").view(np.uint8).reshape(-1, 8)[:, 2:]
-                for c, v in zip(out, (b, packed.tobytes(), local.astype("<u2").tobytes(), *(t[used].tobytes() for t in table)), strict=True):
-                    out[c].append(v)
-            return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in list(out)[1:])], list(out))
-
+        packer = _postings.Packer(ways)
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
             for row, many in _text.slices(texts):
@@ -120,19 +98,12 @@ def postings(docs: DataFrame, n: int, percent: int, frequent, ways: int) -> Data
                     if (len(own), mark) in seen:
                         continue
                     seen.add((len(own), mark))
-                    keys.append(keys_of(own, hot, percent))
-                    rows.append(len(keys[-1]))
-                    ids.append(name)
-                    sizes.append(len(own))
-                    marks.append(mark)
-                    held += rows[-1]
-                    if held > POSTINGS or len(ids) > TABLE:
-                        yield flush()
-                        keys, rows, ids, sizes, marks, held = [], [], [], [], [], 0
-        if ids:
-            yield flush()
+                    if packer.add(keys_of(own, hot, percent), name, len(own), mark):
+                        yield packer.batch()
+        if packer.table:
+            yield packer.batch()
 
-    return docs.mapInArrow(run, "bucket int, keys binary, rows binary, ids binary, sizes binary, marks binary")
+    return docs.mapInArrow(run, _postings.SCHEMA)
 
 
 def joined(group: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -140,30 +111,7 @@ def joined(group: pd.DataFrame, percent: int) -> pd.DataFrame:
 
     Of such a key all sets are paired with the first; the rest is settled when components are known.
     """
-    keys, docs, base = [], [], 0
-    for raw, local in zip(group["keys"], group["rows"], strict=True):
-        wide = np.zeros((len(raw) // 6, 8), np.uint8)
-        wide[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-        keys.append(wide.view("<u8").ravel())
-        docs.append(np.frombuffer(local, "<u2").astype(np.int64) + base)
-        base = int(docs[-1].max()) + 1 if len(docs[-1]) else base
-    key, doc = np.concatenate(keys), np.concatenate(docs)
-    ids, sizes, marks = (np.concatenate([np.frombuffer(raw, t) for raw in group[c]]) for c, t in (("ids", np.int64), ("sizes", np.int32), ("marks", np.uint64)))
-    order = np.lexsort((ids, sizes, marks))
-    new = np.ones(len(ids), bool)
-    new[1:] = (marks[order][1:] != marks[order][:-1]) | (sizes[order][1:] != sizes[order][:-1])
-    kind = np.empty(len(ids), np.int64)
-    kind[order] = np.cumsum(new) - 1
-    name, size = ids[order][new], sizes[order][new].astype(np.int64)  # equal sets have the smallest id
-    by_name = np.argsort(name)
-    place = np.empty(len(name), np.int64)
-    place[by_name] = np.arange(len(name))
-    name, size, kind = name[by_name], size[by_name], place[kind[doc]]
-    order = np.lexsort((kind, key))
-    key, kind = key[order], kind[order]
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])
-    key, kind = key[fresh], kind[fresh]
+    key, kind, name, size, _ = _postings.unpack(group)
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     counts = np.diff(np.append(starts, len(key)))
     pairs = [np.zeros((0, 2), np.int64)]
