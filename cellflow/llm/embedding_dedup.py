@@ -95,15 +95,10 @@ def compare(group: pd.DataFrame, forest: Forest, threshold: float, block: int =
     unit = units(stacked(group["vector"]))
     single = unit.astype(np.float32)
     blocks, copies = group["block"].to_numpy(), group["copies"].to_numpy()
-    row, at = forest.leaves(single)
-    earlier = at < leaf
-    row, at = row[earlier], at[earlier]
-    names, at = np.unique(at, return_inverse=True)
-    sets = np.zeros((len(group), len(names) // 64 + 1), np.uint64)  # each vector's earlier leaves, a bit each
-    np.bitwise_or.at(sets, (row, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
     links = np.zeros(len(group), np.int64)
     root = np.arange(len(group))
     first, second = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
+    found = [(np.zeros(0, np.int64),) * 2]
     for a in range(0, len(first), block):
         for b in range(0, len(second), block):
             p, q = first[a : a + block], second[b : b + block]
@@ -111,24 +106,32 @@ def compare(group: pd.DataFrame, forest: Forest, threshold: float, block: int =
             i, j = p[i], q[j]
             keep = i < j if low == high else np.ones(len(i), bool)
             i, j = i[keep], j[keep]
-            keep = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold  # in double precision
-            i, j = i[keep], j[keep]
-            if not len(i):
-                continue
-            new = ~(sets[i] & sets[j]).any(1)
-            np.add.at(links, i[new], copies[j[new]])
-            np.add.at(links, j[new], copies[i[new]])
-            while True:  # the smaller root of each pair, until all agree
-                small = np.minimum(root[i], root[j])
-                before = root.copy()
-                np.minimum.at(root, i, small)
-                np.minimum.at(root, j, small)
-                root = root[root]
-                if (root == before).all():
-                    break
-    # one pass over blocks may leave chains; a root's own root is the same component
-    while (root[root] != root).any():
+            for c in range(0, len(i), 32_768):  # exactly, in double precision
+                p2, q2 = i[c : c + 32_768], j[c : c + 32_768]
+                keep = np.einsum("ij,ij->i", unit[p2], unit[q2]) >= threshold
+                found.append((p2[keep], q2[keep]))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    if not len(i):
+        return pd.DataFrame({"rep": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
+    linked = np.unique(np.concatenate([i, j]))
+    row, at = forest.leaves(single[linked])
+    row, at = linked[row[at < leaf]], at[at < leaf]
+    names, at = np.unique(at, return_inverse=True)
+    sets = np.zeros((len(group), len(names) // 64 + 1), np.uint64)  # each vector's earlier leaves, a bit each
+    np.bitwise_or.at(sets, (row, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+    for a in range(0, len(i), 200_000):
+        p, q = i[a : a + 200_000], j[a : a + 200_000]
+        new = ~(sets[p] & sets[q]).any(1)
+        np.add.at(links, p[new], copies[q[new]])
+        np.add.at(links, q[new], copies[p[new]])
+    while True:  # the smaller root of each pair, until all agree
+        small = np.minimum(root[i], root[j])
+        before = root.copy()
+        np.minimum.at(root, i, small)
+        np.minimum.at(root, j, small)
         root = root[root]
+        if (root == before).all():
+            break
     rep = group["rep"].to_numpy()
     used = (links > 0) | (root != np.arange(len(group)))
     return pd.DataFrame({"rep": rep[used], "links": links[used], "root": rep[root[used]]})
