@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,12 +43,29 @@ def head_of(spark: SparkSession, path: str, size: int = 65_536) -> bytes:
     return bytes(rows[0]["head"]) if rows else b""
 
 
+#: Encodings that Spark's reader takes itself.
+NATIVE = {"utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16le", "utf-16be", "utf-32"}
+
+
+def recoded(x: Column, encoding: str) -> Column:
+    """Text that was read byte by byte, in its own encoding."""
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: v if v is None else v.encode("latin-1").decode(encoding, "replace"))
+
+    return run(x)
+
+
 def read_csv(spark: SparkSession, path: str, header: bool = True, delimiter: str | None = None, encoding: str | None = None, infer: bool = False, skip_blank: bool = True) -> DataFrame:
     """All columns as text, or with ``infer`` by the conservative rules of ``typed``."""
     head = head_of(spark, path) if delimiter is None or encoding is None else b""
     encoding = encoding or detect_encoding(head)
     delimiter = delimiter or detect_delimiter(head.decode(encoding, "replace").lstrip("\ufeff"))
-    rows = spark.read.csv(path, header=header, sep=delimiter, encoding=encoding, multiLine=encoding.startswith("UTF-16"), quote='"', escape='"', mode="PERMISSIVE")
+    native = encoding.lower() in NATIVE
+    rows = spark.read.csv(path, header=header, sep=delimiter, encoding=encoding if native else "ISO-8859-1", multiLine=encoding.startswith("UTF-16"), quote='"', escape='"', mode="PERMISSIVE")
+    if not native:
+        rows = rows.select(*[recoded(F.col(f"`{c}`"), encoding).alias(c.encode("latin-1").decode(encoding, "replace")) for c in rows.columns])
     rows = rows.toDF(*[c.lstrip("\ufeff") for c in rows.columns])
     if skip_blank:
         rows = rows.dropna(how="all")
