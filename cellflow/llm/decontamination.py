@@ -135,8 +135,8 @@ class Index:
         """``(text, item, edits, first word, last word)`` of each item in each text, at the place with fewest edits."""
         windows = self.windows(hashes, bounds)
         candidates: dict[tuple[int, int], list[int]] = {}
-        edges = np.flatnonzero(np.diff(windows[:, 0], prepend=-1)) if len(windows) else []
-        for a, b in zip(edges, [*edges[1:], len(windows)], strict=True):
+        edges = np.flatnonzero(np.diff(windows[:, 0], prepend=-1)) if len(windows) else np.zeros(0, np.int64)
+        for a, b in zip(edges, np.append(edges[1:], len(windows)), strict=False):
             n, table = int(windows[a, 0]), self.tables[int(windows[a, 0])]
             for c in range(a, b, 4096):
                 part = windows[c : min(b, c + 4096)]

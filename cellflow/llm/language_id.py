@@ -197,7 +197,7 @@ def pool(model: dict, texts: pa.Array, most_rows: int = 2048) -> np.ndarray:
 
 def identify(docs: DataFrame, modulus: int = 4, held: int = 2, sample: int = 3000) -> DataFrame:
     """Languages of all documents, learned from those whose ``crc32(doc_id) % modulus`` isn't ``held``."""
-    marked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == held
+    marked = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == held, F.lit(False))
     model, langs = fit(docs.where(~marked), sample)
     found = predict(doc_columns(docs), model, langs)
     return found.select("doc_id", marked.alias("held_out"), "lang_pred", "score")

@@ -330,6 +330,6 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
 
 def score_documents(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, sample: int = 12_000) -> DataFrame:
     """Scores of all documents, learned from labels of those whose ``crc32(doc_id) % modulus`` isn't ``held``."""
-    marked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == held
+    marked = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == held, F.lit(False))
     model = fit(doc_columns(docs), labels.where(~marked), sample)
     return score(docs, model).select("doc_id", marked.alias("held_out"), "score", "predicted")
