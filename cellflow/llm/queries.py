@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellflow.llm import chat_format, decontamination, embedding_dedup, language_id, licenses, ngram_join, packing, repeat_removal, token_counts, toxicity
+from cellflow.llm import chat_format, decontamination, embedding_dedup, language_id, licenses, ngram_join, oracles, packing, repeat_removal, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,4 +100,10 @@ FROM placed GROUP BY pair_id, prompt_turns
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_preferences": OP8_SQL}
+    return {
+        "op3_license_scan": oracles.OP3,
+        "op5_embedding_dedup": oracles.OP5,
+        "op6_ngram_jaccard_join": oracles.OP6,
+        "op8_chat_preferences": OP8_SQL,
+        "op10_suffix_array_dedup": oracles.OP10,
+    }
