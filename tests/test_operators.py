@@ -141,3 +141,15 @@ def test_stream_of_files(spark, tmp_path):
     each_page(rows, lambda page, n: pages.append(page.count()), str(tmp_path / "state")).awaitTermination(120)
     assert sum(pages) == 3
     assert len(pages) == 3
+
+
+def test_rows(spark):
+    from cellflow.sources.rows import Field, failures, map_rows
+
+    df = spark.createDataFrame([("7", " 2024-02-29 ", "1,234.5", "yes", "a"), ("x", "45292", "", "no", "b"), ("", " ", None, "", None)], "id string, ` Date ` string, amount string, ok string, e string")
+    fields = [Field("ok", "boolean"), Field("number", "int", headers=("id",)), Field("date", "date", headers=("Date",), order=1), Field("amount", "double", default=-1.0), Field("last", index=4), Field("none", "int")]
+    got = map_rows(df, fields)
+    assert got.columns == ["last", "date", "ok", "number", "amount", "none"]
+    assert [tuple(map(str, r)) for r in got.collect()] == [("a", "2024-02-29", "True", "7", "1234.5", "None"), ("b", "2024-01-01", "False", "None", "-1.0", "None")]
+    assert [tuple(r) for r in failures(df, fields).collect()] == [("number", "x")]
+    assert map_rows(df, fields, include=["date"]).columns == ["date"]
