@@ -22,6 +22,8 @@ from cellflow.llm import _fold, _postings, _suffixes, _text
 from cellflow.llm._shared import buckets, cut, doc_columns
 
 GRAM = 24
+#: Bytes of text whose grams are hashed at a time; some hundred bytes of arrays each.
+SLICE = 600_000
 #: Bytes of strings sorted in one suffix array.
 ARRAY_BYTES = 200_000
 _INDEX = np.uint64((1 << 30) - 1)
@@ -73,7 +75,7 @@ def shared_anchors(docs: DataFrame, width: int, ways: int, places: int) -> DataF
         packer, seen = _postings.Packer(ways), {}
         for batch in batches:
             names, shas, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1)
-            for row, n in _text.slices(texts):
+            for row, n in _text.slices(texts, SLICE):
                 keys, _, _, _, bounds, _, offsets = anchors(texts.slice(row, n), width)
                 sizes = np.diff(offsets)
                 for i in np.flatnonzero(np.diff(bounds)).tolist():
@@ -147,7 +149,7 @@ def contexts(texts: DataFrame, keys: DataFrame, width: int, ways: int) -> DataFr
         out: list[tuple] = []
         texts = pa.array(docs["text"], pa.string())
         names, marks = docs["doc_id"].to_numpy(np.int64), np.array([mark_of(s) for s in docs["sha"]], np.uint64)
-        for row, n in _text.slices(texts):
+        for row, n in _text.slices(texts, SLICE):
             key, at, first, last, bounds, data, offsets = anchors(texts.slice(row, n), width)
             doc = np.repeat(np.arange(n), np.diff(bounds))
             mine = np.zeros(len(key), bool)
@@ -249,7 +251,7 @@ def repeated_runs(docs: DataFrame, width: int) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     ways, places = buckets(spark, 1), buckets(spark)
     keys = cut(shared_anchors(docs, width, ways, places))
-    packed = contexts(placed(docs, keys, places), keys, width, ways)
+    packed = contexts(placed(docs, keys, places), keys, width, places)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         ids, marks, starts, ends = repeats(group, width)
