@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellflow.llm._shared import cut
+
 #: Bytes of an array that travel as one row.
 PART = 1 << 16
 SCHEMA = "part int, way int, data binary"
@@ -65,3 +67,14 @@ def id_filter(ids: DataFrame, bits: int = 24):
         return pd.Series((sent.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
 
     return lambda column: may_be(F.pmod(F.xxhash64(column), F.lit(1 << bits)).cast("int"))
+
+
+def without_ids(docs: DataFrame, name: str, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id column ``name`` is in ``ids`` (one bigint column).
+
+    Rows that a bitmap of fixed size clears stay where they are; only the rest is joined.
+    """
+    ids = cut(ids.toDF("_gone").distinct())
+    may = F.col(name).isNotNull() & id_filter(ids)(name)
+    rest = docs.where(may).join(ids, F.col(name) == F.col("_gone"), "left_anti")
+    return docs.where(~may).unionByName(rest)

@@ -24,16 +24,16 @@ from cellflow.llm._shared import buckets, cut, doc_columns
 
 #: Classes of frequent shingles.
 CLASSES = 8
-#: Counters of shingles, and how many times the mean count makes a frequent one (at least so many).
-COUNTER_BITS, TIMES_MEAN, LEAST = 20, 6, 64
+#: Counters of shingles, and by how much a count must exceed the mean: so many of its deviations, and so many more.
+COUNTER_BITS, DEVIATIONS, LEAST = 21, 6, 24
 #: A key of up to so many documents gives all its pairs at once.
 FEW = 3
-#: Documents compared with one other in a group.
-BESIDE = 128
+#: Documents compared with one other in a group, and documents of a block whose sketches are compared.
+BESIDE, TILE = 128, 2048
 
 
 def profile(docs: DataFrame, n: int) -> DataFrame:
-    """Two kinds of rows from one pass: each document's set size and signature, and each task's shingle counters."""
+    """Two kinds of rows from one pass: each document's set size, signature and sketch, and each task's shingle counters."""
 
     def run(batches):
         counters = np.zeros(1 << COUNTER_BITS, np.int32)
@@ -41,21 +41,114 @@ def profile(docs: DataFrame, n: int) -> DataFrame:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
             for row, many in _text.slices(texts):
                 hashes, _, _, bounds, _ = _text.words_of(texts.slice(row, many), _text.NOT_SPACE)
-                sizes, first, second, sets = [], [], [], []
+                sizes, first, second, sets, cells = [], [], [], [], []
                 for own in _text.shingles(hashes, bounds, n):
                     sizes.append(len(own))
                     first.append(int(_text.mix(own).sum(dtype=np.uint64)) - (1 << 63))
                     second.append(int(_text.mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) - (1 << 63))
                     sets.append(own)
+                    cells.append(sketch(own))
                 counters += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=1 << COUNTER_BITS).astype(np.int32)
-                yield pa.RecordBatch.from_pandas(pd.DataFrame({"doc_id": pd.array(names[row : row + many], "Int64"), "size": sizes, "first": first, "second": second, "part": pd.array([None] * many, "Int32"), "way": pd.array([None] * many, "Int32"), "data": [None] * many}), schema=PROFILE)
+                yield pa.RecordBatch.from_pandas(pd.DataFrame({"doc_id": pd.array(names[row : row + many], "Int64"), "size": sizes, "first": first, "second": second, "sketch": cells, "part": pd.array([None] * many, "Int32"), "way": pd.array([None] * many, "Int32"), "data": [None] * many}), schema=PROFILE)
         made = _fold.parts(counters, TaskContext.get().partitionId())
         yield pa.RecordBatch.from_pandas(made.reindex(columns=PROFILE.names), schema=PROFILE)
 
-    return docs.mapInArrow(run, "doc_id bigint, size bigint, first bigint, second bigint, part int, way int, data binary")
+    return docs.mapInArrow(run, "doc_id bigint, size bigint, first bigint, second bigint, sketch binary, part int, way int, data binary")
 
 
-PROFILE = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("first", pa.int64()), ("second", pa.int64()), ("part", pa.int32()), ("way", pa.int32()), ("data", pa.binary())])
+PROFILE = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("first", pa.int64()), ("second", pa.int64()), ("sketch", pa.binary()), ("part", pa.int32()), ("way", pa.int32()), ("data", pa.binary())])
+
+
+def sketch(own: np.ndarray) -> bytes:
+    """How many shingles fall in each of 2**k cells by their low bits, with one to two of them a cell on average."""
+    cells = 1 << max(3, (max(1, len(own)) - 1).bit_length() - 1)
+    return np.minimum(np.bincount((own & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def may_link(size: int, cells: bytes, other_size: int, other_cells: bytes, percent: int) -> bool:
+    """False only if the sets are surely below the threshold: they share no more than the smaller count in each cell."""
+    x, y = np.frombuffer(cells, np.uint8), np.frombuffer(other_cells, np.uint8)
+    if len(x) > len(y):
+        x, y = y, x
+    shared = int(np.minimum(x, y.reshape(-1, len(x)).sum(0)).sum())
+    return 100 * shared >= percent * (size + other_size - shared)
+
+
+def promising(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` that their sketches don't rule out."""
+    a, b = (sketches.select(F.col("doc_id").alias(c), F.col("size").alias(f"{c}_size"), F.col("sketch").alias(f"{c}_sketch")) for c in ("a", "b"))
+
+    @F.pandas_udf("boolean")
+    def fits(size: pd.Series, cells: pd.Series, other_size: pd.Series, other_cells: pd.Series) -> pd.Series:
+        return pd.Series([may_link(*v, percent) for v in zip(size, cells, other_size, other_cells, strict=True)], dtype=bool)
+
+    return pairs.join(a, "a").join(b, "b").where(fits("a_size", "a_sketch", "b_size", "b_sketch")).select("a", "b").distinct()
+
+
+def still_open(left: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of different classes that share a run in ``left (run, id, size, class)`` and that sketches don't rule out.
+
+    Runs go to their smallest document, where most runs of one group meet, so
+    a pair is looked at about once.  Pairs exist as bits inside a task; only
+    those that pass become rows.  A home with many documents is dealt out in
+    pairs of blocks.
+    """
+    homes = left.groupBy("run").agg(F.min("id").alias("home"))
+    rows = cut(left.join(homes, "run"))
+    members = rows.select("home", "id", "size", "class").distinct()
+    parts = members.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts"))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        df = df.join(parts, "home").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return df.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("parts", "other")
+
+    known = sketches.groupBy("doc_id", "size").agg(F.first("sketch").alias("sketch")).withColumnRenamed("doc_id", "id")
+    runs = dealt(rows.select("home", "run", "id"))
+    people = cut(dealt(members.join(known, ["id", "size"])))
+
+    def run(runs: pd.DataFrame, people: pd.DataFrame) -> pd.DataFrame:
+        people = people.sort_values(["id", "size"]).reset_index(drop=True)
+        low, high = (int(people[c].iloc[0]) for c in ("low", "high")) if len(people) else (0, 0)
+        return pd.DataFrame(unlike(runs, people, low, high, percent), columns=["a", "b"]).astype("int64")
+
+    keys = ["home", "low", "high"]
+    return runs.groupBy(*keys).cogroup(people.groupBy(*keys)).applyInPandas(run, "a bigint, b bigint").distinct()
+
+
+def unlike(runs: pd.DataFrame, people: pd.DataFrame, low: int, high: int, percent: int) -> np.ndarray:
+    """``(a, b)`` of one pair of blocks."""
+    ids, sizes, classes, block = (people[c].to_numpy() for c in ("id", "size", "class", "block"))
+    first, second = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    met = np.zeros((len(first), len(second)), bool)
+    at = np.searchsorted(ids, runs["id"].to_numpy())
+    order = np.argsort(runs["run"].to_numpy(), kind="stable")
+    edges = np.flatnonzero(np.diff(runs["run"].to_numpy()[order], prepend=runs["run"].min() - 1)) if len(runs) else []
+    for members in np.split(at[order], edges[1:]) if len(edges) else []:
+        members = np.unique(members)
+        met[np.ix_(np.searchsorted(first, members[block[members] == low]), np.searchsorted(second, members[block[members] == high]))] = True
+    i, j = np.nonzero(met)
+    i, j = first[i], second[j]
+    small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+    keep = (classes[i] != classes[j]) & (100 * small >= percent * large)
+    if low == high:
+        keep &= i < j
+    i, j = i[keep], j[keep]
+    cells = np.array([len(c) for c in people["sketch"]])
+    level = np.minimum(cells[i], cells[j])
+    passed = np.zeros(len(i), bool)
+    for width in np.unique(level).tolist():
+        own = np.flatnonzero(cells >= width)
+        place = np.zeros(len(cells), np.int64)
+        place[own] = np.arange(len(own))
+        table = np.stack([np.frombuffer(people["sketch"].iloc[k], np.uint8).reshape(-1, width).sum(0, dtype=np.uint16) for k in own.tolist()])
+        mine = np.flatnonzero(level == width)
+        for a in range(0, len(mine), max(1, 4_000_000 // width)):
+            part = mine[a : a + max(1, 4_000_000 // width)]
+            shared = np.minimum(table[place[i[part]]], table[place[j[part]]]).sum(1, dtype=np.int64)
+            passed[part] = 100 * shared >= percent * (sizes[i[part]] + sizes[j[part]] - shared)
+    i, j = ids[i[passed]], ids[j[passed]]
+    return np.stack([np.minimum(i, j), np.maximum(i, j)], 1)
 
 
 def keys_of(own: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
@@ -178,7 +271,8 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     docs = doc_columns(docs)
     profiles = cut(profile(docs, n))
     counters = _fold.fold(profiles.where("part IS NOT NULL"), "int32", "sum", 1 << COUNTER_BITS)
-    frequent = counters >= max(LEAST, TIMES_MEAN * counters.mean())
+    usual = counters.mean()
+    frequent = counters >= usual + DEVIATIONS * usual**0.5 + LEAST
     sent = spark.sparkContext.broadcast(np.packbits(frequent))
     rows = profiles.where("part IS NULL").select("doc_id", "size", "first", "second")
     filled = rows.where("size > 0 AND doc_id IS NOT NULL")
@@ -188,16 +282,15 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     packed = postings(docs, n, percent, sent, buckets(spark, 1))
     found = cut(packed.groupBy("bucket").applyInPandas(lambda g: joined(g, percent), "run bigint, a bigint, b bigint"))
     pairs = cut(found.where("run IS NULL").select("a", "b").distinct())
-    links = verified(docs, pairs, n, percent).union(copies)
+    sketches = profiles.where("part IS NULL AND size > 0 AND doc_id IS NOT NULL").select("doc_id", "size", "sketch")
+    links = verified(docs, cut(promising(pairs, sketches, percent)), n, percent).union(copies)
     classes = _graph.components(links)
     runs = found.where("run IS NOT NULL").select("run", F.col("a").alias("id"), F.col("b").alias("size"))
     named = runs.join(classes, "id", "left").withColumn("class", F.coalesce("component_id", "id")).drop("component_id")
     open_runs = named.groupBy("run").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("run")
     left = cut(named.join(open_runs, "run"))
     if not left.isEmpty():
-        x, y = (left.select("run", *(F.col(c).alias(f"{c}{i}") for c in ("id", "size", "class"))) for i in (1, 2))
-        more = x.join(y, "run").where(f"id1 < id2 AND class1 <> class2 AND 100 * least(size1, size2) >= {percent} * greatest(size1, size2)")
-        more = more.select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+        more = still_open(left, sketches, percent).join(pairs, ["a", "b"], "left_anti")
         again = verified(docs, cut(more), n, percent)
         if not again.isEmpty():
             classes = _graph.components(links.union(again))
@@ -207,5 +300,5 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """``docs`` with one document of each class, that of the smallest doc_id; rows with null doc_id stay."""
-    others = link_documents(docs, n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("other_id")).distinct()
-    return docs.join(others, F.col("doc_id") == F.col("other_id"), "left_anti")
+    others = link_documents(docs, n, percent).where("doc_id <> component_id").select("doc_id")
+    return _fold.without_ids(docs, "doc_id", others)
