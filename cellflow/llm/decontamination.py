@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellflow.llm import _text
+from cellflow.llm._fold import without_ids
 from cellflow.llm._shared import doc_columns
 
 FOUND = "doc_id bigint, item_id bigint, edits int, item_words int, first_word bigint, last_word bigint"
@@ -206,5 +207,4 @@ def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75,
 
 def without_items(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; rows with null doc_id stay."""
-    leaking = find_items(docs, benchmark, similarity).select(F.col("doc_id").alias("leaking_id")).distinct()
-    return docs.join(leaking, F.col("doc_id") == F.col("leaking_id"), "left_anti")
+    return without_ids(docs, "doc_id", find_items(docs, benchmark, similarity).select("doc_id"))

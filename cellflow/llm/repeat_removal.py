@@ -26,6 +26,8 @@ GRAM = 24
 SLICE = 600_000
 #: Bytes of strings sorted in one suffix array.
 ARRAY_BYTES = 200_000
+#: Rows of a hundred bytes that may be broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 50_000
 _INDEX = np.uint64((1 << 30) - 1)
 _PLACES = "place int, ids binary, marks binary, counts binary, starts binary, ends binary"
 _CONTEXTS = "bucket int, keys binary, ids binary, marks binary, firsts binary, befores binary, lens binary, bytes binary"
@@ -109,14 +111,18 @@ def shared_anchors(docs: DataFrame, width: int, ways: int, places: int) -> DataF
     return posted.groupBy("bucket").applyInPandas(meet, "place int, ids binary, marks binary, counts binary, keys binary")
 
 
-def placed(docs: DataFrame, rows: DataFrame, places: int) -> DataFrame:
-    """Documents that occur in packed ``rows``, with their place."""
+def occurring(rows: DataFrame):
+    """A column function that is true for every id in packed ``rows`` and false for most others."""
 
     def listed(frames):
         for f in frames:
             yield pd.DataFrame({"id": np.frombuffer(b"".join(f["ids"]), np.int64)})
 
-    needed = _fold.id_filter(rows.select("ids").mapInPandas(listed, "id bigint"))
+    return _fold.id_filter(rows.select("ids").mapInPandas(listed, "id bigint"))
+
+
+def placed(docs: DataFrame, needed, places: int) -> DataFrame:
+    """Documents that ``needed`` lets through, with their place."""
 
     @F.pandas_udf("int")
     def place_of(doc_id: pd.Series) -> pd.Series:
@@ -249,9 +255,9 @@ def repeats(group: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np
 def repeated_runs(docs: DataFrame, width: int) -> tuple[DataFrame, int]:
     """Packed removals by place, and the number of places.  ``docs``: doc_id, text, sha."""
     spark = docs.sparkSession
-    ways, places = buckets(spark, 1), buckets(spark)
+    ways, places = buckets(spark, 1), buckets(spark, 2)
     keys = cut(shared_anchors(docs, width, ways, places))
-    packed = contexts(placed(docs, keys, places), keys, width, places)
+    packed = contexts(placed(docs, occurring(keys), places), keys, width, places)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         ids, marks, starts, ends = repeats(group, width)
@@ -281,9 +287,10 @@ def kept_bytes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[list[b
     return kept, int((last - first).sum()), len(first)
 
 
-def _edited(docs: DataFrame, width: int, with_text: bool) -> DataFrame:
-    """``(id, sha, n_removed, n_spans, kept_sha256[, kept])`` of the documents that lose bytes but for copies of whole texts."""
+def _edited(docs: DataFrame, width: int, with_text: bool):
+    """``(id, sha, n_removed, n_spans, kept_sha256[, kept])`` of the documents that lose bytes but for copies of whole texts, and the filter of their ids."""
     removals, places = repeated_runs(docs, width)
+    needed = occurring(removals)
     schema = "id bigint, sha string, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept string" * with_text
 
     def run(texts: pd.DataFrame, packed: pd.DataFrame) -> pd.DataFrame:
@@ -296,8 +303,8 @@ def _edited(docs: DataFrame, width: int, with_text: bool) -> DataFrame:
                 rows.append((i, sha, removed, runs, hashlib.sha256(body).hexdigest(), *([body.decode("utf-8", "ignore")] * with_text)))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).drop_duplicates(["id", "sha"])
 
-    texts = placed(docs, removals, places).select("place", "doc_id", "text", "sha")
-    return texts.groupBy("place").cogroup(removals.groupBy("place")).applyInPandas(run, schema)
+    texts = placed(docs, needed, places).select("place", "doc_id", "text", "sha")
+    return texts.groupBy("place").cogroup(removals.groupBy("place")).applyInPandas(run, schema), needed
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -319,7 +326,7 @@ def measure_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     """
     docs = _marked(doc_columns(docs))
     base = cut(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "sha"))
-    edited = _edited(docs, width, False).withColumnRenamed("id", "doc_id")
+    edited = _edited(docs, width, False)[0].withColumnRenamed("id", "doc_id")
     out = base.join(_leads(base, width), "sha", "left").join(edited, ["doc_id", "sha"], "left")
     copy = F.coalesce(F.col("lead") < F.col("doc_id"), F.lit(False))
     return out.select(
@@ -335,8 +342,17 @@ def without_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     """``docs`` with those bytes removed from their texts (of a cut character, the rest too); every row and column stays."""
     keyed = docs.withColumn("_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
     plain = _marked(doc_columns(docs))
-    edited = _edited(plain, width, True).select(F.col("id").alias("_id"), F.col("sha").alias("_edited"), "kept")
-    leads = _leads(plain.select("doc_id", F.octet_length("text").alias("n_bytes"), "sha"), width).select(F.col("sha").alias("_shared"), F.col("lead").alias("_lead"))
-    out = keyed.join(leads, F.col("_sha") == F.col("_shared"), "left").join(edited, (F.col("doc_id") == F.col("_id")) & (F.col("_sha") == F.col("_edited")), "left")
+    edited, needed = _edited(plain, width, True)
+    edited = edited.select(F.col("id").alias("_id"), F.col("sha").alias("_edited"), "kept")
+    leads = _leads(plain.select("doc_id", F.octet_length("text").alias("n_bytes"), "sha"), width)
+    leads = cut(leads.select(F.col("sha").alias("_shared"), F.col("lead").alias("_lead")))
+    if leads.count() <= BROADCAST_ROWS:
+        leads = F.broadcast(leads)
+    keyed = keyed.join(leads, F.col("_sha") == F.col("_shared"), "left")
+    # only texts that may have been edited are shuffled
+    may = F.col("doc_id").isNotNull() & needed("doc_id")
+    same = keyed.where(~may).withColumn("kept", F.lit(None).cast("string"))
+    other = keyed.where(may).join(edited, (F.col("doc_id") == F.col("_id")) & (F.col("_sha") == F.col("_edited")), "left").drop("_id", "_edited")
+    out = same.unionByName(other)
     text = F.when(F.col("_lead") < F.col("doc_id"), "").otherwise(F.coalesce("kept", "text"))
     return out.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns))
