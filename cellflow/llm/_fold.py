@@ -13,6 +13,19 @@ from cellflow.llm._shared import cut
 PART = 1 << 16
 SCHEMA = "part int, way int, data binary"
 _OPERATIONS = {"sum": np.add, "or": np.bitwise_or}
+#: Of the multiplicative congruence that spreads ids: a prime, and a multiplier whose products fit 63 bits.
+_PRIME, _FACTOR = (1 << 31) - 1, 1_583_458_089
+
+
+def spread(ids: np.ndarray, ways: int) -> np.ndarray:
+    """Ids dealt out to ``ways`` numbers from 0 on, as ``spread_column`` does."""
+    return np.mod(np.mod(np.mod(ids, _PRIME) * _FACTOR, _PRIME), ways)
+
+
+def spread_column(name: str, ways: int):
+    """``spread`` as an expression; null ids get 0."""
+    mixed = F.pmod(F.pmod(F.coalesce(F.col(name), F.lit(0)), F.lit(_PRIME)) * F.lit(_FACTOR), F.lit(_PRIME))
+    return F.pmod(mixed, F.lit(ways)).cast("int")
 
 
 def parts(array: np.ndarray, way: int) -> pd.DataFrame:
@@ -41,24 +54,25 @@ def fold(rows: DataFrame, dtype: str, operation: str, length: int) -> np.ndarray
 
 
 def id_filter(ids: DataFrame, bits: int = 24):
-    """A column function that is false for most ids not in ``ids`` (one bigint column), never for one in it.
+    """A column function that is false for most ids not in ``ids``, never for one in it.
 
-    The bitmap's size is fixed; over many ids it lets more through, and stays right.
+    ``ids`` has one column (nulls are left out), of bigint or of binary with many ids a row.  The
+    bitmap's size is fixed; over many ids it lets more through, and stays right.
     """
     from pyspark import TaskContext
 
-    name = ids.columns[0]
-    hashed = ids.select(F.pmod(F.xxhash64(name), F.lit(1 << bits)).cast("int").alias("bit"))
+    name, kind = ids.dtypes[0]
 
     def run(frames):
         bitmap = np.zeros(1 << bits, bool)
         for frame in frames:
-            bitmap[frame["bit"].to_numpy()] = True
+            values = np.frombuffer(b"".join(frame[name]), np.int64) if kind == "binary" else frame[name].to_numpy(np.int64)
+            bitmap[spread(values, 1 << bits)] = True
         packed = np.packbits(bitmap)
         rows = parts(packed, TaskContext.get().partitionId())
         yield rows[[any(d) for d in rows["data"]]]
 
-    bitmap = fold(hashed.mapInPandas(run, SCHEMA), "uint8", "or", 1 << (bits - 3))
+    bitmap = fold(ids.dropna().mapInPandas(run, SCHEMA), "uint8", "or", 1 << (bits - 3))
     sent = ids.sparkSession.sparkContext.broadcast(bitmap)
 
     @F.pandas_udf("boolean")
@@ -66,7 +80,7 @@ def id_filter(ids: DataFrame, bits: int = 24):
         at = bit.to_numpy()
         return pd.Series((sent.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
 
-    return lambda column: may_be(F.pmod(F.xxhash64(column), F.lit(1 << bits)).cast("int"))
+    return lambda column: may_be(spread_column(column, 1 << bits))
 
 
 def without_ids(docs: DataFrame, name: str, ids: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """``m**i`` and ``m**-i`` modulo 2**64 for i below at least n, grown as needed."""
     have = _powers.get("up")
     if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 200_000)
+        size = n + n // 8
         for name, base in (("up", _MULT), ("down", _INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

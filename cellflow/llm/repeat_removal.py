@@ -25,7 +25,7 @@ GRAM = 24
 #: Bytes of text whose grams are hashed at a time; some hundred bytes of arrays each.
 SLICE = 600_000
 #: Bytes of strings sorted in one suffix array.
-ARRAY_BYTES = 200_000
+ARRAY_BYTES = 100_000
 #: Rows of a hundred bytes that may be broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 50_000
 _INDEX = np.uint64((1 << 30) - 1)
@@ -98,7 +98,7 @@ def shared_anchors(docs: DataFrame, width: int, ways: int, places: int) -> DataF
         order = np.argsort(doc, kind="stable")
         key, doc = key[order], doc[order]
         used, counts = np.unique(doc, return_counts=True)
-        place = (_text.mix(ids[used].astype(np.uint64)) % np.uint64(places)).astype(np.int64)
+        place = _fold.spread(ids[used], places)
         first = np.cumsum(counts) - counts
         rows = []
         for p in np.unique(place).tolist():
@@ -113,22 +113,12 @@ def shared_anchors(docs: DataFrame, width: int, ways: int, places: int) -> DataF
 
 def occurring(rows: DataFrame):
     """A column function that is true for every id in packed ``rows`` and false for most others."""
-
-    def listed(frames):
-        for f in frames:
-            yield pd.DataFrame({"id": np.frombuffer(b"".join(f["ids"]), np.int64)})
-
-    return _fold.id_filter(rows.select("ids").mapInPandas(listed, "id bigint"))
+    return _fold.id_filter(rows.select("ids"))
 
 
 def placed(docs: DataFrame, needed, places: int) -> DataFrame:
     """Documents that ``needed`` lets through, with their place."""
-
-    @F.pandas_udf("int")
-    def place_of(doc_id: pd.Series) -> pd.Series:
-        return pd.Series((_text.mix(doc_id.to_numpy().astype(np.uint64)) % np.uint64(places)).astype(np.int32))
-
-    return docs.where(F.col("doc_id").isNotNull() & needed("doc_id")).withColumn("place", place_of("doc_id"))
+    return docs.where(F.col("doc_id").isNotNull() & needed("doc_id")).withColumn("place", _fold.spread_column("doc_id", places))
 
 
 def by_document(group: pd.DataFrame, *columns: tuple[str, type]) -> dict[tuple[int, int], list[np.ndarray]]:
@@ -261,7 +251,7 @@ def repeated_runs(docs: DataFrame, width: int) -> tuple[DataFrame, int]:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         ids, marks, starts, ends = repeats(group, width)
-        place = (_text.mix(ids.astype(np.uint64)) % np.uint64(places)).astype(np.int64)
+        place = _fold.spread(ids, places)
         rows = []
         for p in np.unique(place).tolist():
             m = place == p
