@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellflow.llm._shared import cut
+from cellflow.llm._shared import cut, fresh
 
 #: Bytes of an array that travel as one row.
 PART = 1 << 16
@@ -53,34 +53,45 @@ def fold(rows: DataFrame, dtype: str, operation: str, length: int) -> np.ndarray
     return out
 
 
-def id_filter(ids: DataFrame, bits: int = 24):
-    """A column function that is false for most ids not in ``ids``, never for one in it.
+#: Bits of one row of a bitmap, as Spark's bitmap functions have them.
+ROW_BITS = 32_768
+#: Bits of a bitmap of ids; over more ids than that it lets more through, and stays right.
+FILTER_BITS = 1 << 24
+
+
+def _spread_ids(ids: DataFrame) -> DataFrame:
+    at = spread_column(ids.columns[0], FILTER_BITS)
+    return ids.dropna().select(F.shiftright(at, 15).alias("part"), F.pmod(at, F.lit(ROW_BITS)).cast("long").alias("bit"))
+
+
+def bitmap(ids: DataFrame) -> DataFrame:
+    """``(part, bits)``, at most 512 rows of 4 KB, that tell most ids not in ``ids`` (one bigint column) from those in it."""
+    return cut(_spread_ids(ids).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")))
 
-    ``ids`` has one column (nulls are left out), of bigint or of binary with many ids a row.  The
-    bitmap's size is fixed; over many ids it lets more through, and stays right.
-    """
-    from pyspark import TaskContext
 
-    name, kind = ids.dtypes[0]
+def packed_bitmap(ids: DataFrame) -> DataFrame:
+    """``bitmap`` of a binary column with many ids a row."""
 
     def run(frames):
-        bitmap = np.zeros(1 << bits, bool)
+        held = np.zeros(FILTER_BITS, bool)
         for frame in frames:
-            values = np.frombuffer(b"".join(frame[name]), np.int64) if kind == "binary" else frame[name].to_numpy(np.int64)
-            bitmap[spread(values, 1 << bits)] = True
-        packed = np.packbits(bitmap)
-        rows = parts(packed, TaskContext.get().partitionId())
-        yield rows[[any(d) for d in rows["data"]]]
+            held[spread(np.frombuffer(b"".join(frame.iloc[:, 0]), np.int64), FILTER_BITS)] = True
+        rows = np.packbits(held, bitorder="little").reshape(-1, ROW_BITS // 8)
+        some = np.flatnonzero(rows.any(1))
+        yield pd.DataFrame({"part": some.astype(np.int32), "bits": [rows[i].tobytes() for i in some.tolist()]})
 
-    bitmap = fold(ids.dropna().mapInPandas(run, SCHEMA), "uint8", "or", 1 << (bits - 3))
-    sent = ids.sparkSession.sparkContext.broadcast(bitmap)
+    return cut(ids.dropna().mapInPandas(run, "part int, bits binary").groupBy("part").agg(F.bitmap_or_agg("bits").alias("bits")))
 
-    @F.pandas_udf("boolean")
-    def may_be(bit: pd.Series) -> pd.Series:
-        at = bit.to_numpy()
-        return pd.Series((sent.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
 
-    return lambda column: may_be(spread_column(column, 1 << bits))
+def flagged(docs: DataFrame, name: str, bits: DataFrame, flag: str) -> DataFrame:
+    """``docs`` with a boolean ``flag``: true where id column ``name`` is in the bitmap, and seldom where it isn't; false for nulls."""
+    part, row = fresh(docs.withColumn(flag, F.lit(True)), "_part", "_bits")
+    at = spread_column(name, FILTER_BITS)
+    inside = F.pmod(at, F.lit(ROW_BITS)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(row), F.shiftright(inside, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.col(name).isNotNull() & (F.getbit(byte, F.pmod(inside, F.lit(8))) == 1)
+    joined = docs.join(F.broadcast(bits.toDF(part, row)), F.shiftright(at, 15) == F.col(part), "left")  # 2 MB at most
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce(hit, F.lit(False)).alias(flag))
 
 
 def without_ids(docs: DataFrame, name: str, ids: DataFrame) -> DataFrame:
@@ -88,7 +99,8 @@ def without_ids(docs: DataFrame, name: str, ids: DataFrame) -> DataFrame:
 
     Rows that a bitmap of fixed size clears stay where they are; only the rest is joined.
     """
-    ids = cut(ids.toDF("_gone").distinct())
-    may = F.col(name).isNotNull() & id_filter(ids)(name)
-    rest = docs.where(may).join(ids, F.col(name) == F.col("_gone"), "left_anti")
-    return docs.where(~may).unionByName(rest)
+    gone, may = fresh(docs, "_gone", "_may")
+    ids = cut(ids.toDF(gone).dropna().distinct())
+    docs = flagged(docs, name, bitmap(ids), may)
+    rest = docs.where(F.col(may)).join(ids, F.col(name) == F.col(gone), "left_anti")
+    return docs.where(~F.col(may)).unionByName(rest).drop(may)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellflow.llm._shared import cut
+from cellflow.llm._shared import cut, discard
 
 
 def _low(edges: DataFrame) -> DataFrame:
@@ -35,6 +35,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     seen = None
     for _ in range(rounds):
         after = cut(_small_star(_large_star(now)))
+        discard(now)
         state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             return after.select(F.col("u").alias("id"), F.col("v").alias("component_id"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 
 SCHEMA = "bucket int, keys binary, counts binary, ids binary, sizes binary, marks binary"
 #: Postings and documents that a map task holds before it passes them on.
-MOST, TABLE = 2_000_000, 60_000
+MOST, TABLE = 1_000_000, 60_000
 
 
 class Packer:
@@ -33,11 +33,11 @@ class Packer:
         return self.held > MOST or len(self.table) > TABLE
 
     def batch(self) -> pa.RecordBatch:
-        keys, rows = np.concatenate(self.keys), np.repeat(np.arange(len(self.counts)), self.counts)
+        keys, rows = np.concatenate(self.keys), np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
         ids, sizes, marks = zip(*self.table, strict=True)
         table = np.array(ids, np.int64), np.array(sizes, np.int32), np.array(marks, np.uint64)
         self.clear()
-        at = ((keys >> np.uint64(16)) % np.uint64(self.ways)).astype(np.int64)
+        at = ((keys >> np.uint64(16)) % np.uint64(self.ways)).astype(np.int32)
         order = np.argsort(at, kind="stable")
         edges = np.searchsorted(at[order], np.arange(self.ways + 1))
         out: list[list] = [[] for _ in range(6)]

@@ -7,23 +7,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at a time; a single longer text is a slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 600_000
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
 _SALT = np.random.default_rng(20250101).integers(1, 1 << 63, 4096, dtype=np.uint64) | np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``m**i`` and ``m**-i`` modulo 2**64 for i below at least n, grown as needed."""
-    have = _powers.get("up")
-    if have is None or len(have) < n:
-        size = n + n // 8
-        for name, base in (("up", _MULT), ("down", _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
+def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two short tables whose products are ``base**i`` modulo 2**64: ``low[i % 4096] * high[i // 4096]``, for i up to n."""
+    low = np.full(4097, base, np.uint64)
+    low[0] = 1
+    low = np.multiply.accumulate(low)
+    high = np.full(n // 4096 + 1, low[4096], np.uint64)
+    high[0] = 1
+    return low[:4096], np.multiply.accumulate(high)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,16 +79,18 @@ FOLDED, PLAIN = byte_table(True), byte_table(False)
 
 
 def prefix_sums(data: np.ndarray, table: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(data) + 1)
+    low, high = powers(_MULT, len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * up[: len(data)], out=sums[1:])
+    values = table[data]
+    values *= (high[:, None] * low[None, :]).ravel()[: len(data)]
+    np.cumsum(values, out=sums[1:])
     return sums
 
 
 def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the bytes between starts and ends, the same wherever they stand."""
-    _, down = powers(len(sums))
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    low, high = powers(_INVERSE, len(sums))
+    return mix((sums[ends] - sums[starts]) * (low[starts & 4095] * high[starts >> 12]) + (ends - starts).astype(np.uint64))
 
 
 def words_of(texts: pa.Array, is_word: np.ndarray, fold_case: bool = True):

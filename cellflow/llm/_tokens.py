@@ -40,12 +40,13 @@ def word_chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def spaced_chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """White space with the run that follows it, for tokenizers that keep it.
 
-    Text is cut only where white space follows something else; no
-    pre-token of the byte-level pattern contains such a place.
+    Text is cut only where ASCII white space follows something that isn't white
+    space, be it ASCII or not; no pre-token of the byte-level pattern contains
+    such a place.
     """
     space = ~_text.NOT_SPACE[data]
     cuts = np.zeros(len(data) + 1, bool)
-    cuts[1 : len(data)] = space[1:] & ~space[:-1]
+    cuts[1 : len(data)] = space[1:] & ~(space | wide_space_ends(data))[:-1]
     cuts[offsets] = True
     cuts[offsets[1:] - 1] = True  # the newline that ends each text is not part of it
     at = np.flatnonzero(cuts)
@@ -55,6 +56,20 @@ def spaced_chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return starts[own], ends[own]
 
 
+def wide_space_ends(data: np.ndarray) -> np.ndarray:
+    """Marks the last bytes of white space beyond ASCII."""
+    out = np.zeros(len(data), bool)
+    for char in WHITE[6:]:
+        code = char.encode()
+        n = len(code)
+        if len(data) >= n:
+            hit = data[n - 1 :] == code[-1]
+            for k in range(n - 1) if hit.any() else ():
+                hit &= data[k : len(data) - n + 1 + k] == code[k]
+            out[n - 1 :] |= hit
+    return out
+
+
 class Slots:
     """A direct-mapped table from 64-bit hashes to small numbers."""
 
@@ -85,19 +100,28 @@ class Joined:
     """Encodes many chunks as one text, for byte-level BPE whose ids rise in merge order.
 
     The vocabulary is that of the tokenizer's own file; results are told apart
-    again by the number of bytes that each id stands for.
+    again by the number of bytes that each id stands for.  ``encoding`` is None
+    for a file of any other kind: its texts are left to the library, whole.
     """
 
     def __init__(self, path: str):
-        import tiktoken
-
         with open(path, encoding="utf-8") as f:
             stored = json.load(f)
-        vocabulary, added = stored["model"]["vocab"], {t["content"] for t in stored["added_tokens"]}
+        self.encoding = None
+        model, before = stored["model"], stored.get("pre_tokenizer") or {}
+        plain = (before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True), stored.get("normalizer")) == ("ByteLevel", False, True, None)
+        if not plain or model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            return
+        vocabulary, added = model["vocab"], {t["content"] for t in stored["added_tokens"]}
+        made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in set(shown)]
         as_byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
         ranks = {bytes(as_byte[c] for c in token): i for token, i in vocabulary.items() if token not in added}
+        if any(a >= b for a, b in zip(made, made[1:], strict=False)) or len(made) + 256 != len(ranks) or min(made, default=256) <= max(ranks[bytes([b])] for b in range(256)):
+            return
+        import tiktoken
+
         self.encoding = tiktoken.Encoding("chunks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
         self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         self.sizes[list(ranks.values())] = [len(token) for token in ranks]
@@ -118,15 +142,15 @@ class Joined:
         return flat[np.argsort(rows, kind="stable")], lens
 
 
-#: The pre-tokenizer pattern of byte-level BPE, and ASCII white space.
+#: The pre-tokenizer pattern of byte-level BPE, and what Unicode calls white space, ASCII first.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WHITE = " \t\n\v\f\r"
+WHITE = " \t\n\v\f\r\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class IdPool:
     """Ids of chunks, kept in one growing array until ``most`` ids are held."""
 
-    def __init__(self, path: str, bits: int = 20, most: int = 12_000_000):
+    def __init__(self, path: str, bits: int = 20, most: int = 4_000_000):
         self.path, self.bits, self.most = path, bits, most
         self.encode = Joined(path)
         self.reset()
@@ -140,7 +164,7 @@ class IdPool:
         at = self.used + np.cumsum(lens) - lens
         self.pool[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        return (at << 24) | lens
+        return (at << 32) | lens
 
     def ids(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all chunks one after another, and each chunk's number of them."""
@@ -153,10 +177,10 @@ class IdPool:
             got = self._store(*self.encode(texts))
             self.slots.put(distinct, got)
             place[new] = got[back]
-        lens = place & 0xFFFFFF
+        lens = place & 0xFFFFFFFF
         total = int(lens.sum())
         before = np.cumsum(lens) - lens
-        where = np.repeat((place >> 24) - before, lens)
+        where = np.repeat((place >> 32) - before, lens)
         where += np.arange(total)
         return self.pool[where], lens
 

@@ -169,11 +169,13 @@ class Index:
 def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75, recall: float = 0.995, block_bytes: int = 4_000_000) -> DataFrame:
     """Each benchmark item that stands in a document, with up to ``1 - similarity`` of its words edited.
 
-    One row for each document and item: the fewest edits, and the first and
-    last word of that place.  Words are ASCII letters and digits and anything
-    beyond ASCII, A-Z lower-cased.  Items without words and null texts match
-    nothing; repeated ids give a row each (repeated item_ids with the same words
-    one).  Benchmarks over ``block_bytes`` are broadcast in blocks of about that size.
+    One row for each document and item: the fewest edits of the windows that
+    the hashing let through, counted exactly, and the first and last word of
+    that place.  Words are ASCII letters and digits and anything beyond ASCII,
+    A-Z lower-cased.  Items without words and null texts match nothing; repeated
+    ids give a row each (repeated item_ids with the same text one), and null ids
+    are kept as they are.  Benchmarks over ``block_bytes`` are broadcast in
+    blocks of about that size, each with a pass of its own over the documents.
     """
     spark = docs.sparkSession
     docs = doc_columns(docs)
@@ -183,9 +185,10 @@ def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75,
     out = None
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) == block).collect()  # about block_bytes
-        texts = pa.array([r.text for r in sorted(rows)], pa.string())
+        rows.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text))
+        texts = pa.array([r.text for r in rows], pa.string())
         hashes, _, _, bounds, _ = _text.words_of(texts, _text.ALNUM) if rows else (np.zeros(0, np.uint64), 0, 0, np.zeros(1, np.int64), 0)
-        known = [Item(r.doc_id, hashes[bounds[i] : bounds[i + 1]], similarity) for i, r in enumerate(sorted(rows)) if bounds[i + 1] > bounds[i]]
+        known = [Item(r.doc_id, hashes[bounds[i] : bounds[i + 1]], similarity) for i, r in enumerate(rows) if bounds[i + 1] > bounds[i]]
         sent = spark.sparkContext.broadcast((known, recall))
 
         def run(batches, sent=sent):

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cellflow.llm import _text
-from cellflow.llm._shared import doc_columns, hashed_sample
+from cellflow.llm._shared import doc_columns, fresh
 
 #: Bytes read in one go; state starts anew at each such stretch.
 STRETCH = 64
+#: Mean probability that a document's language must reach to count as told.
+LEAST = 0.5
 #: Bytes whose positions count when a document's probabilities are pooled: letters and what lies beyond ASCII.
 COUNTS = np.zeros(256, bool)
 COUNTS[0x41:0x5B] = COUNTS[0x61:0x7B] = COUNTS[0x80:] = True
@@ -132,53 +135,70 @@ def stretched(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return codes.reshape(-1, STRETCH), rows
 
 
-def fit(docs: DataFrame, sample: int = 3000, per_text: int = 12, seed: int = 5) -> tuple[dict, list[str]]:
-    """A network learned from about ``sample`` labelled rows at most, chosen by hash of their id.
+def fit(docs: DataFrame, sample: int = 3000, per_text: int = 12) -> tuple[dict, list[str]]:
+    """A network learned from about ``sample`` different labelled rows at most, chosen by hash of the whole row.
 
-    ``docs`` needs doc_id, text and lang; rows without text or lang don't count.
-    From each text up to ``per_text`` stretches are drawn, from anywhere in it.
+    ``docs`` needs doc_id, text and lang; rows without text or lang don't
+    count, and rows alike in all three count once.  From each text up to
+    ``per_text`` stretches are drawn, from anywhere in it; only they reach the
+    driver, so neither many nor long texts do.
     """
-    labelled = docs.where("lang IS NOT NULL AND text <> ''").select("doc_id", "text", "lang")
-    rows = hashed_sample(labelled, sample, "doc_id").toPandas().sort_values(["doc_id", "text"])
+    row = F.xxhash64("doc_id", "text", "lang")
+    labelled = docs.where("lang IS NOT NULL AND text <> ''").select(row.alias("row"), "text", "lang")
+    kinds = labelled.agg(F.approx_count_distinct("row", 0.02).alias("n")).first()["n"]
+    if kinds > sample:
+        labelled = labelled.where(F.pmod(F.xxhash64("row"), F.lit(1 << 40)) < int(sample / kinds * (1 << 40)))
+
+    def draw(batches):
+        for batch in batches:
+            for first, n in _text.slices(batch.column(1)):
+                part = batch.slice(first, n)
+                codes, starts = stretched(*_text.raw_bytes(part.column(1)))
+                rows = part.column(0).to_pylist()
+                picks = [np.random.default_rng(row & 0xFFFFFFFF).permutation(np.arange(a, b))[:per_text] for row, a, b in zip(rows, starts[:-1], starts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([codes[k].tobytes() for k in picks], pa.binary())], ["row", "lang", "codes"])
+
+    drawn = labelled.mapInArrow(draw, "row bigint, lang string, codes binary").groupBy("row", "lang", "codes").agg(F.count(F.lit(1)).alias("copies"))
+    rows = drawn.toPandas().sort_values(["row", "lang", "codes"])  # about `sample` rows at most
     langs = sorted(rows["lang"].unique())
     if not langs:
         return {}, []
-    data, offsets = _text.raw_bytes(pa.array(rows["text"], pa.string()))
-    codes, first = stretched(data, offsets)
-    label = np.repeat(rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(), np.diff(first))
-    rng = np.random.default_rng(seed)
-    picks = np.concatenate([rng.permutation(np.arange(a, b))[:per_text] for a, b in zip(first[:-1], first[1:], strict=True)])
-    return train(codes[picks], label[picks], len(langs)), langs
+    codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(-1, STRETCH)
+    label = np.repeat(rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(), [len(c) // STRETCH for c in rows["codes"]])
+    return train(codes, label, len(langs)), langs
 
 
-def predict(docs: DataFrame, model: dict, langs: list[str], batch_bytes: int = 500_000) -> DataFrame:
-    """Every column of ``docs`` with ``lang_pred`` and ``score`` (added, or in place of such columns).
+def predicted(model: dict, langs: list[str], texts: pa.Array, batch_bytes: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Language and probability of each text: every position is labelled, and those with letters are averaged.
 
-    Every position of the whole text is labelled; the probabilities of the
-    positions with letters are averaged.  ``und`` with score 0 where the text
-    is null or has no letter, or nothing was learned.  The model is a few
-    thousand numbers and travels with the task.
+    ``und`` with 0 where the text is null or has no letter, or nothing was learned.
+    """
+    texts = pc.fill_null(texts, "")
+    lettered = np.asarray(pc.match_substring_regex(texts, r"\pL").to_numpy(zero_copy_only=False), bool)
+    pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+    if langs:
+        for row, n in _text.slices(texts, batch_bytes):
+            pooled = pool(model, texts.slice(row, n))
+            pred[row : row + n] = np.array(langs, object)[pooled.argmax(1)]
+            score[row : row + n] = np.clip(pooled.max(1), 0, 1)
+    pred[~lettered], score[~lettered] = "und", 0.0
+    return pred, score
+
+
+def predictor(docs: DataFrame, model: dict, langs: list[str]):
+    """A column function from texts to ``(lang_pred, score)``; only texts go to Python.
+
+    The model is a few thousand numbers and travels with the task.
     """
     sent = docs.sparkSession.sparkContext.broadcast((model, langs))
-    docs = docs.drop("lang_pred", "score")
-    at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double")
 
-    def run(batches):
-        model, langs = sent.value
-        for batch in batches:
-            texts = pc.fill_null(batch.column(at), "")
-            lettered = np.asarray(pc.match_substring_regex(texts, r"\pL").to_numpy(zero_copy_only=False), bool)
-            pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
-            if langs:
-                for row, n in _text.slices(texts, batch_bytes):
-                    pooled = pool(model, texts.slice(row, n))
-                    pred[row : row + n] = np.array(langs, object)[pooled.argmax(1)]
-                    score[row : row + n] = np.clip(pooled.max(1), 0, 1)
-            pred[~lettered], score[~lettered] = "und", 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
+    @F.arrow_udf("lang_pred string, score double")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in texts:
+            pred, score = predicted(*sent.value, part)
+            yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score)], ["lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return run.asNondeterministic()  # else it may be called twice for a row
 
 
 def pool(model: dict, texts: pa.Array, most_rows: int = 2048) -> np.ndarray:
@@ -196,14 +216,30 @@ def pool(model: dict, texts: pa.Array, most_rows: int = 2048) -> np.ndarray:
 
 
 def identify(docs: DataFrame, modulus: int = 4, held: int = 2, sample: int = 3000) -> DataFrame:
-    """Languages of all documents, learned from those whose ``crc32(doc_id) % modulus`` isn't ``held``."""
+    """Languages of all documents, learned from those whose ``crc32(doc_id) % modulus`` isn't ``held``.
+
+    Each row gives one, repeated and null ids included; null and empty texts
+    are ``und`` with score 0.  An empty table gives no rows; other columns are
+    ignored.
+    """
     marked = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == held, F.lit(False))
     model, langs = fit(docs.where(~marked), sample)
-    found = predict(doc_columns(docs), model, langs)
-    return found.select("doc_id", marked.alias("held_out"), "lang_pred", "score")
+    found = doc_columns(docs).withColumn("found", predictor(docs, model, langs)("text"))
+    return found.select("doc_id", marked.alias("held_out"), "found.lang_pred", "found.score")
 
 
-def keep_identified(docs: DataFrame, sample: int = 3000) -> DataFrame:
-    """``docs`` without the documents whose language can't be told: null texts and those without letters."""
+def keep_identified(docs: DataFrame, sample: int = 3000, least: float = LEAST) -> DataFrame:
+    """``docs`` without the documents whose language can't be told, and ``lang`` filled in where it is null.
+
+    A document goes if its text is null or without a letter, or if the network
+    gives no language ``least`` on average over its letters.  Nothing learned
+    (no labelled row) means no language can be told, but then only texts
+    without letters go.  All other columns stay as they are.
+    """
     model, langs = fit(docs, sample)
-    return predict(docs, model, langs).where("lang_pred <> 'und'").select(*docs.columns)
+    (found,) = fresh(docs, "_found")
+    known = docs.withColumn(found, predictor(docs, model, langs)("text"))
+    pred, score = F.col(f"{found}.lang_pred"), F.col(f"{found}.score")
+    told = (pred != "und") & (score >= least) if langs else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    lang = F.coalesce(F.col("lang"), F.when(pred != "und", pred))
+    return known.where(told).select(*(lang.alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns))

@@ -30,6 +30,8 @@ COUNTER_BITS, DEVIATIONS, LEAST = 21, 6, 24
 FEW = 3
 #: Documents compared with one other in a group, and documents of a block whose sketches are compared.
 BESIDE, TILE = 128, 2048
+#: Keys of a bucket, about; buckets follow the number of keys, so that none grows with the input.
+BUCKET = 700_000
 
 
 def profile(docs: DataFrame, n: int) -> DataFrame:
@@ -237,8 +239,7 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BESIDE).cast("int").alias("parts"))
     dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
     wanted = cut(dealt.select("a", "part", F.col("b").alias("id")).union(dealt.select("a", "part", F.col("a").alias("id")).distinct()))
-    needed = _fold.id_filter(wanted.select("id"))
-    texts = docs.where(F.col("doc_id").isNotNull() & needed("doc_id"))
+    texts = _fold.flagged(docs, "doc_id", _fold.bitmap(wanted.select("id")), "needed").where("needed")
     gathered = wanted.join(texts, F.col("id") == F.col("doc_id")).select("a", "part", "id", "text")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -279,7 +280,8 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     equal = filled.groupBy("size", "first", "second").agg(F.min("doc_id").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = filled.join(equal, ["size", "first", "second"]).select(F.col("doc_id").alias("u"), "v").where("u <> v")
 
-    packed = postings(docs, n, percent, sent, buckets(spark, 1))
+    amount = rows.agg((F.sum("size") * (100 - percent) / 100 + F.count(F.lit(1)) * CLASSES).alias("keys")).first()["keys"] or 0
+    packed = postings(docs, n, percent, sent, buckets(spark, 1, amount, BUCKET))
     found = cut(packed.groupBy("bucket").applyInPandas(lambda g: joined(g, percent), "run bigint, a bigint, b bigint"))
     pairs = cut(found.where("run IS NULL").select("a", "b").distinct())
     sketches = profiles.where("part IS NULL AND size > 0 AND doc_id IS NOT NULL").select("doc_id", "size", "sketch")

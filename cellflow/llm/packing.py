@@ -37,9 +37,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end
         pool = _pools.setdefault(tokenizer_path, _tokens.IdPool(tokenizer_path))
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
-            odd = _tokens.flagged(texts, specials)
+            odd = _tokens.flagged(texts, specials) | (pool.encode.encoding is None)
             for row, n in _text.slices(texts):
-                data, offsets = _text.raw_bytes(texts.slice(row, n))
+                if odd[row : row + n].all():
+                    data, offsets = _text.raw_bytes(pa.array([""] * n))
+                else:
+                    data, offsets = _text.raw_bytes(texts.slice(row, n))
                 starts, ends = _tokens.spaced_chunks(data, offsets)
                 hashes = _text.span_hashes(_text.prefix_sums(data, _text.PLAIN), starts, ends)
                 ids, lens = pool.ids(hashes, starts, ends, data)

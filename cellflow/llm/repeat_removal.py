@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellflow.llm import _fold, _postings, _suffixes, _text
-from cellflow.llm._shared import buckets, cut, doc_columns
+from cellflow.llm._shared import buckets, cut, doc_columns, fresh
 
 GRAM = 24
 #: Bytes of text whose grams are hashed at a time; some hundred bytes of arrays each.
 SLICE = 600_000
 #: Bytes of strings sorted in one suffix array.
 ARRAY_BYTES = 100_000
+#: Bytes of text for each bucket; buckets follow the input's size, so that none grows with it.
+BUCKET_BYTES = 8_000_000
 #: Rows of a hundred bytes that may be broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 50_000
 _INDEX = np.uint64((1 << 30) - 1)
@@ -111,14 +113,10 @@ def shared_anchors(docs: DataFrame, width: int, ways: int, places: int) -> DataF
     return posted.groupBy("bucket").applyInPandas(meet, "place int, ids binary, marks binary, counts binary, keys binary")
 
 
-def occurring(rows: DataFrame):
-    """A column function that is true for every id in packed ``rows`` and false for most others."""
-    return _fold.id_filter(rows.select("ids"))
-
-
-def placed(docs: DataFrame, needed, places: int) -> DataFrame:
-    """Documents that ``needed`` lets through, with their place."""
-    return docs.where(F.col("doc_id").isNotNull() & needed("doc_id")).withColumn("place", _fold.spread_column("doc_id", places))
+def placed(docs: DataFrame, rows: DataFrame, places: int) -> DataFrame:
+    """Documents whose ids stand in packed ``rows`` (and few others), with their place."""
+    docs = _fold.flagged(docs.select("doc_id", "text", "sha"), "doc_id", _fold.packed_bitmap(rows.select("ids")), "needed")
+    return docs.where("needed").withColumn("place", _fold.spread_column("doc_id", places)).drop("needed")
 
 
 def by_document(group: pd.DataFrame, *columns: tuple[str, type]) -> dict[tuple[int, int], list[np.ndarray]]:
@@ -245,9 +243,10 @@ def repeats(group: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np
 def repeated_runs(docs: DataFrame, width: int) -> tuple[DataFrame, int]:
     """Packed removals by place, and the number of places.  ``docs``: doc_id, text, sha."""
     spark = docs.sparkSession
-    ways, places = buckets(spark, 1), buckets(spark, 2)
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    ways, places = buckets(spark, 1, size, BUCKET_BYTES), buckets(spark, 2, size, BUCKET_BYTES)
     keys = cut(shared_anchors(docs, width, ways, places))
-    packed = contexts(placed(docs, occurring(keys), places), keys, width, places)
+    packed = contexts(placed(docs, keys, places), keys, width, places)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         ids, marks, starts, ends = repeats(group, width)
@@ -278,9 +277,8 @@ def kept_bytes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[list[b
 
 
 def _edited(docs: DataFrame, width: int, with_text: bool):
-    """``(id, sha, n_removed, n_spans, kept_sha256[, kept])`` of the documents that lose bytes but for copies of whole texts, and the filter of their ids."""
+    """``(id, sha, n_removed, n_spans, kept_sha256[, kept])`` of the documents that lose bytes but for copies of whole texts."""
     removals, places = repeated_runs(docs, width)
-    needed = occurring(removals)
     schema = "id bigint, sha string, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept string" * with_text
 
     def run(texts: pd.DataFrame, packed: pd.DataFrame) -> pd.DataFrame:
@@ -293,8 +291,8 @@ def _edited(docs: DataFrame, width: int, with_text: bool):
                 rows.append((i, sha, removed, runs, hashlib.sha256(body).hexdigest(), *([body.decode("utf-8", "ignore")] * with_text)))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).drop_duplicates(["id", "sha"])
 
-    texts = placed(docs, needed, places).select("place", "doc_id", "text", "sha")
-    return texts.groupBy("place").cogroup(removals.groupBy("place")).applyInPandas(run, schema), needed
+    texts = placed(docs, removals, places).select("place", "doc_id", "text", "sha")
+    return texts.groupBy("place").cogroup(removals.groupBy("place")).applyInPandas(run, schema)
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -314,9 +312,11 @@ def measure_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     null doc_id lose and cover nothing.  An empty table gives no rows; other
     columns are ignored.
     """
+    if not GRAM <= width < 128:
+        raise ValueError(f"width must be {GRAM} to 127")
     docs = _marked(doc_columns(docs))
     base = cut(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "sha"))
-    edited = _edited(docs, width, False)[0].withColumnRenamed("id", "doc_id")
+    edited = _edited(docs, width, False).withColumnRenamed("id", "doc_id")
     out = base.join(_leads(base, width), "sha", "left").join(edited, ["doc_id", "sha"], "left")
     copy = F.coalesce(F.col("lead") < F.col("doc_id"), F.lit(False))
     return out.select(
@@ -329,20 +329,22 @@ def measure_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
-    """``docs`` with those bytes removed from their texts (of a cut character, the rest too); every row and column stays."""
-    keyed = docs.withColumn("_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    """``docs`` with those bytes removed from their texts (of a cut character, the rest too); every row and every other column stays."""
+    if not GRAM <= width < 128:
+        raise ValueError(f"width must be {GRAM} to 127")
+    sha, lead, whole, same, done, kept, may = fresh(docs, "_sha", "_lead", "_whole", "_id", "_edited", "_kept", "_may")
+    keyed = docs.withColumn(sha, F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
     plain = _marked(doc_columns(docs))
-    edited, needed = _edited(plain, width, True)
-    edited = edited.select(F.col("id").alias("_id"), F.col("sha").alias("_edited"), "kept")
+    edited = cut(_edited(plain, width, True).select(F.col("id").alias(same), F.col("sha").alias(done), F.col("kept").alias(kept)))
     leads = _leads(plain.select("doc_id", F.octet_length("text").alias("n_bytes"), "sha"), width)
-    leads = cut(leads.select(F.col("sha").alias("_shared"), F.col("lead").alias("_lead")))
+    leads = cut(leads.select(F.col("sha").alias(whole), F.col("lead").alias(lead)))
     if leads.count() <= BROADCAST_ROWS:
         leads = F.broadcast(leads)
-    keyed = keyed.join(leads, F.col("_sha") == F.col("_shared"), "left")
+    keyed = keyed.join(leads, F.col(sha) == F.col(whole), "left")
     # only texts that may have been edited are shuffled
-    may = F.col("doc_id").isNotNull() & needed("doc_id")
-    same = keyed.where(~may).withColumn("kept", F.lit(None).cast("string"))
-    other = keyed.where(may).join(edited, (F.col("doc_id") == F.col("_id")) & (F.col("_sha") == F.col("_edited")), "left").drop("_id", "_edited")
-    out = same.unionByName(other)
-    text = F.when(F.col("_lead") < F.col("doc_id"), "").otherwise(F.coalesce("kept", "text"))
-    return out.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    keyed = _fold.flagged(keyed, "doc_id", _fold.bitmap(edited.select(F.col(same).cast("long"))), may)
+    stay = keyed.where(~F.col(may)).withColumn(kept, F.lit(None).cast("string"))
+    other = keyed.where(F.col(may)).join(edited, (F.col("doc_id") == F.col(same)) & (F.col(sha) == F.col(done)), "left").drop(same, done)
+    out = stay.unionByName(other)
+    text = F.when(F.col(lead) < F.col("doc_id"), "").otherwise(F.coalesce(F.col(kept), F.col("text")))
+    return out.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
