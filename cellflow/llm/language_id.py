@@ -16,7 +16,7 @@ from cellflow.llm._shared import doc_columns, fresh
 #: Bytes read in one go; state starts anew at each such stretch.
 STRETCH = 64
 #: Mean probability that a document's language must reach to count as told.
-LEAST = 0.5
+LEAST = 0.4
 #: Bytes whose positions count when a document's probabilities are pooled: letters and what lies beyond ASCII.
 COUNTS = np.zeros(256, bool)
 COUNTS[0x41:0x5B] = COUNTS[0x61:0x7B] = COUNTS[0x80:] = True
