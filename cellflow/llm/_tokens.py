@@ -73,10 +73,10 @@ def wide_space_ends(data: np.ndarray) -> np.ndarray:
 class Slots:
     """A direct-mapped table from 64-bit hashes to small numbers."""
 
-    def __init__(self, bits: int):
+    def __init__(self, bits: int, dtype: type = np.int64):
         self.shift = np.uint64(64 - bits)
         self.keys = np.zeros(1 << bits, np.uint64)
-        self.values = np.zeros(1 << bits, np.int64)
+        self.values = np.zeros(1 << bits, dtype)
 
     def put(self, hashes: np.ndarray, values: np.ndarray) -> None:
         at = hashes >> self.shift

@@ -147,8 +147,9 @@ def deduplicate(embeddings: DataFrame, threshold: float = 0.95, trees: int = 5,
 
     Vectors that are null, empty, zero or hold null or non-finite components
     link with nothing; vectors of different lengths never link.  Repeated
-    vec_ids are rows of their own.  An empty table gives no rows; other
-    columns are ignored.
+    vec_ids are rows of their own; one without vec_id has null component_id and
+    kept, and is no one's representative unless it is alone.  An empty table
+    gives no rows; other columns are ignored.
     """
     spark = embeddings.sparkSession
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))

@@ -85,6 +85,8 @@ class Join:
     """
 
     def __init__(self, templates: dict[str, str], frequency: dict[str, int], threshold: float):
+        if len(frequency) > 1 << 16:
+            raise ValueError("templates may have 65,536 different words at most")
         names = sorted(frequency, key=lambda w: (frequency[w], w))
         hashes = word_hashes(names)
         order = np.argsort(hashes)

@@ -75,3 +75,26 @@ def test_stages(spark, tmp_path):
     packed = docs.toPandas()
     assert set(packed["doc_id"]) == set(clean)
     assert packed.groupby("sequence_id")["length"].sum().max() <= 1024
+
+
+def test_stages_leave_other_columns_alone(spark):
+    """Nulls, empty texts, repeated rows and columns named as the stages' own."""
+    line = "many words stand in this long line of text that comes again in the second document of the table"
+    own = ["score", "lang_pred", "kept", "_sha", "_gone", "_may", "_lead", "_id", "_edited", "_found", "found", "part", "bits", "sha", "place"]
+    texts = [f"first {line}", f"second one begins in quite another way and with rather more words of its own before it has {line}", None, "", "12 34", "a short clean one", "a short clean one"]
+    rows = [(i, t, None if i % 2 else "en", "s", None if t is None else len(t), *(f"{c}{i}" for c in own)) for i, t in enumerate(texts)]
+    rows += [rows[0], (None, "a text without id", None, None, None, *("x" for _ in own))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in own)).repartition(3)
+    before = {r.doc_id: r for r in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = stage(spark, docs, DATA)
+        assert docs.columns == columns
+        for r in docs.collect():
+            assert all(r[c] == before[r.doc_id][c] for c in own)
+    kept = docs.collect()
+    assert {r.doc_id for r in kept} == {None, 0, 1, 5}
+    empty = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, DATA).count() == 0
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()} == {None, 0, 1, 5}

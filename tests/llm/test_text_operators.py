@@ -7,6 +7,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -406,6 +407,128 @@ def test_string_kernel():
     assert np.allclose(got, [brute(a, b) for a, b in pairs], rtol=1e-4)
 
 
+def test_kernels_of_words_are_exact():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdeéß") for _ in range(rng.randint(3, 16))) for _ in range(60)]
+    marks = toxicity.Landmarks(words[:12])
+    a, b = toxicity.letters(words), toxicity.letters(words[:12])
+    want = np.stack([toxicity.kernel(a, np.repeat(b[m : m + 1], len(a), 0)) for m in range(12)], 1)
+    want = want / np.sqrt(toxicity.kernel(a, a))[:, None] / np.sqrt(toxicity.kernel(b, b))[None]
+    assert np.allclose(marks.compare(words), np.minimum(want, 1) ** 2, atol=1e-5)
+    assert marks.compare(["", "a", "x" * 3]).max() == 0
+    long = "abcdefgh" * 5  # the sum of its windows
+    assert np.allclose(marks.compare([long])[0], marks.compare([long[k : k + 16] for k in range(0, 32, 8)]).sum(0), atol=1e-5)
+
+
+def test_toxicity_scores_against_a_plain_rewrite():
+    words, beta = ["stupid", "wretch", "rotten"], np.array([1.0, 0.5, -0.25])
+    texts = ["a stuxpid thing. you wretch\nrotten day", "s t u p i d", "ж ш ы", "", "w.r.e.t.c.h and st0pid. rot-ten!", " ".join(["rotten"] * 70)]
+    marks = toxicity.Landmarks(words)
+
+    def value(text):
+        sums = []
+        for line in re.split(r"(?<=[.!?])\s+|\n", text):
+            own = line.split()
+            parts = [own[k : k + 64] for k in range(0, len(own), 64)]
+            if len(own) > 2 and all(len(w) == 1 for w in own):
+                parts = [["".join(own)]]
+            sums += [float((marks.compare(p) @ beta).sum()) for p in parts if p]
+        return max(sums, default=0)
+
+    got = toxicity.Reader(words, beta).margins(pa.array(texts))
+    assert np.allclose(got, [value(t) for t in texts], atol=1e-4)
+    assert got[1] > 0.9
+
+
+def test_inserted_letters_count(spark):
+    rng = random.Random(12)
+    rude = ["stupid", "wretched", "vermin", "rotten"]
+    rows, labels = [], []
+    for i in range(600):
+        words = prose(rng, rng.randint(8, 40)).split()
+        if i % 3 == 0:
+            words.insert(rng.randrange(len(words)), rng.choice(rude))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 3 == 0)))
+    odd = ["stuxpid", "s t u p i d", "s.t.u.p.i.d", "stup1d", "verrmin", "wretchxed", "rot-ten"]
+    rows += [(1000 + k, f"they said it was a {w} thing") for k, w in enumerate(odd)] + [(2000, "they said it was a good thing")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in toxicity.score_documents(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()}
+    assert all(got[1000 + k] > max(0.2, 5 * got[2000]) for k in range(len(odd))), {w: got[1000 + k] for k, w in enumerate(odd)}
+    assert got[2000] < 0.1
+
+
+def test_repeated_rows_still_teach_languages(spark):
+    docs = spark.createDataFrame([(8, "the same words again and again", "a")] * 3500 + [(9, "schön übung größe straße", "b"), (9, "schön übung größe", "b")], "doc_id bigint, text string, lang string")
+    model, langs = language_id.fit(docs)
+    assert langs == ["a", "b"]
+    got = {(r.doc_id, r.lang_pred) for r in language_id.identify(docs).collect()}
+    assert "und" not in {p for _, p in got}
+
+
+def test_states_against_a_plain_network():
+    rng = np.random.default_rng(1)
+    w = {"w": rng.standard_normal((6, 256)).astype(np.float32), "u": rng.standard_normal((6, 2)).astype(np.float32)}
+    codes = rng.integers(97, 123, (7, 3))
+    got = language_id.scan(w, codes)
+    for row in range(3):
+        h = np.zeros(2)
+        for t in range(7):
+            x, p = w["w"][:, codes[t, row]], w["u"] @ h
+            z, r = np.clip(0.25 * (x[:2] + p[:2]) + 0.5, 0, 1), np.clip(0.25 * (x[2:4] + p[2:4]) + 0.5, 0, 1)
+            h = z * h + (1 - z) * np.tanh(x[4:] + r * p[4:])
+            assert np.allclose(got[t, :, row], h, atol=1e-4)
+
+
+def test_pooled_probabilities_against_a_plain_mean():
+    rng = np.random.default_rng(3)
+    part = lambda: {"w": rng.standard_normal((6, 256)).astype(np.float32), "u": rng.standard_normal((6, 2)).astype(np.float32)}
+    model = {"ahead": part(), "back": part(), "out": {"v": rng.standard_normal((3, 4)).astype(np.float32), "c": rng.standard_normal((3, 1)).astype(np.float32)}}
+    texts = ["one 12 two", "é" * 100, "x"]
+    got = language_id.pool(model, pa.array(texts))
+    for text, mean in zip(texts, got, strict=True):
+        raw = text.encode() + b"\n"
+        sums = []
+        for k in range(0, len(raw), 64):
+            codes = np.full((64, 1), 10)
+            codes[: len(raw[k : k + 64]), 0] = list(raw[k : k + 64])
+            p, _ = language_id.probabilities(model, codes)
+            sums += [p[t, :, 0] for t in range(64) if language_id.COUNTS[codes[t, 0]]]
+        assert np.allclose(np.mean(sums, 0), mean, atol=1e-5)
+
+
+def test_items_without_id(spark):
+    item = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(1, f"and {item} then"), (None, f"{item} too")], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(None, item), (4, "quite other words stand here in this line")], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.find_items(docs, benchmark).collect()} == {(1, None), (None, None)}
+
+
+def test_ids_at_any_white_space(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    rng = random.Random(6)
+    some = [" ", " ", "\t", "\n", "\u00a0", "\u2003", "\u3000", "\u0085", "\u1680", "\u2028", "\x1c", "\x1f", "\u200b", "a", "B", "7", "é", "'s", "-", "the"]
+    texts = ["a \u00a0 \u00a0 b", *("".join(rng.choice(some) for _ in range(rng.randint(0, 24))) for _ in range(3000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.token_pieces(docs, path).collect()}
+    for i, text in enumerate(texts):
+        ids = library.encode(text, add_special_tokens=False).ids + [2]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), repr(text)
+
+
+def test_ids_of_another_kind_of_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    docs = spark.createDataFrame([(0, "The  Cat\nsat"), (1, None)], "doc_id bigint, text string")
+    got = {r.doc_id: r.ids_crc32 for r in packing.token_pieces(docs, path).collect()}
+    assert got == {i: zlib.crc32(np.array(library.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes()) for i, t in enumerate(("The  Cat\nsat", ""))}
+
+
 def test_preferences(spark):
     rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes <|end|>"), (0, 2, "user", "more"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "assistant", None), (4, 0, "user", "alone"), (6, 0, "system", "s"), (7, 0, "user", "u"), (None, 0, "user", "x")]
     turns = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id bigint, turn bigint, role string, text string, prompt string")
