@@ -19,7 +19,7 @@ class Forest:
     of all vectors and a split makes it smaller; a tight cluster stays whole.
     """
 
-    def __init__(self, sample: np.ndarray, rows: int, threshold: float, trees: int = 5, leaf: int = 512, seed: int = 17):
+    def __init__(self, sample: np.ndarray, rows: int, threshold: float, trees: int = 5, leaf: int = 256, seed: int = 17):
         self.overlap = 0.5 * np.sqrt(2 * (1 - threshold) / max(1, sample.shape[1]))
         self.least = max(16, leaf * len(sample) / max(1, rows))
         rng = np.random.default_rng(seed)
@@ -137,7 +137,7 @@ def compare(group: pd.DataFrame, forest: Forest, threshold: float, block: int =
     return pd.DataFrame({"rep": rep[used], "links": links[used], "root": rep[root[used]]})
 
 
-def deduplicate(embeddings: DataFrame, threshold: float = 0.95, trees: int = 5, leaf: int = 512, sample: int = 32_768, tile: int = 2048) -> DataFrame:
+def deduplicate(embeddings: DataFrame, threshold: float = 0.95, trees: int = 5, leaf: int = 256, sample: int = 32_768, tile: int = 2048) -> DataFrame:
     """Near-duplicate classes of all vectors, by cosine in double precision.
 
     The forest is fitted on at most about ``sample`` vectors, chosen by hash;
