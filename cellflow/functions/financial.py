@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cellflow.functions.core import dbl, finite, fn, fold, numbers, only, text, whole
-from cellflow.functions.datetime import day, yearfrac
+from cellflow.functions.datetime import day, days360, yearfrac
 from cellflow.functions.distributions import inside, per_value
 from cellflow.functions.math import round_half_away
 
@@ -296,19 +296,23 @@ def coupdays(settlement, maturity, frequency: int, basis: int = 0) -> Column:
 
 @fn("COUPDAYBS")
 def coupdaybs(settlement, maturity, frequency: int, basis: int = 0) -> Column:
-    return F.datediff(day(settlement), couppcd(settlement, maturity, frequency)).cast("double")
+    """Days as the basis counts them: of 30-day months for 0 and 4, else as they are."""
+    last = couppcd(settlement, maturity, frequency)
+    days = days360(last, day(settlement), basis == 4) if basis in (0, 4) else F.datediff(day(settlement), last)
+    return days.cast("double")
 
 
 @fn("COUPDAYSNC")
 def coupdaysnc(settlement, maturity, frequency: int, basis: int = 0) -> Column:
-    return F.datediff(coupncd(settlement, maturity, frequency), day(settlement)).cast("double")
+    if basis == 1:
+        return F.datediff(coupncd(settlement, maturity, frequency), day(settlement)).cast("double")
+    return coupdays(settlement, maturity, frequency, basis) - coupdaybs(settlement, maturity, frequency, basis)
 
 
 def _flows(settlement, maturity, frequency: int, basis: int):
     """Coupons left, the part of a period to the first, and the part already run."""
-    part = coupdaysnc(settlement, maturity, frequency, basis) / coupdays(settlement, maturity, frequency, basis)
     run = coupdaybs(settlement, maturity, frequency, basis) / coupdays(settlement, maturity, frequency, basis)
-    return _coupons(settlement, maturity, frequency), part, run
+    return _coupons(settlement, maturity, frequency), 1 - run, run
 
 
 @fn("PRICE")

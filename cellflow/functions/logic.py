@@ -31,23 +31,29 @@ def switch(x, *cases) -> Column:
 
 @fn("IFERROR", "IFNA")
 def iferror(x, other) -> Column:
+    """For a computed value: its null is an error.  A stored blank is a null too, so don't ask for one here."""
     return F.coalesce(col(x), col(other))
 
 
+def _filled(conditions, value) -> Column:
+    """The value where one of the conditions isn't blank; blank ones don't count."""
+    return F.when(F.coalesce(*[col(c) for c in conditions]).isNotNull(), value)
+
+
 @fn("AND")
 def and_(*conditions) -> Column:
-    out = col(conditions[0])
-    for c in conditions[1:]:
-        out = out & col(c)
-    return out
+    out = F.lit(True)
+    for c in conditions:
+        out = out & F.coalesce(col(c), F.lit(True))
+    return _filled(conditions, out)
 
 
 @fn("OR")
 def or_(*conditions) -> Column:
-    out = col(conditions[0])
-    for c in conditions[1:]:
-        out = out | col(c)
-    return out
+    out = F.lit(False)
+    for c in conditions:
+        out = out | F.coalesce(col(c), F.lit(False))
+    return _filled(conditions, out)
 
 
 @fn("NOT")
@@ -59,8 +65,8 @@ def not_(x) -> Column:
 def xor(*conditions) -> Column:
     out = F.lit(0)
     for c in conditions:
-        out = out + col(c).cast("int")
-    return out % 2 == 1
+        out = out + F.coalesce(col(c).cast("int"), F.lit(0))
+    return _filled(conditions, out % 2 == 1)
 
 
 @fn("TRUE")
@@ -169,6 +175,24 @@ def error_type(x) -> Column:
     return F.element_at(F.create_map(*[F.lit(v) for pair in ERRORS.items() for v in pair]), text(x))
 
 
+@fn("ROWS")
+def rows(x) -> Column:
+    """Of an array of rows, or of cells."""
+    return F.size(col(x))
+
+
+@fn("COLUMNS")
+def columns(x) -> Column:
+    """Of an array of rows."""
+    return F.size(F.try_element_at(col(x), F.lit(1)))
+
+
+@fn("HYPERLINK")
+def hyperlink(link, name=None) -> Column:
+    """What the cell shows."""
+    return text(link) if name is None else F.coalesce(col(name).cast("string"), text(link))
+
+
 @fn("DELTA")
 def delta(a, b=0) -> Column:
     return (dbl(a) == dbl(b)).cast("int")

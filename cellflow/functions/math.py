@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from cellflow.functions.core import dbl, finite, fn, fold, numbers, only, text, whole
 
 
+def down(x: Column) -> Column:
+    """The largest whole number up to x, also beyond what a long holds."""
+    return F.when(F.abs(x) >= 2.0**52, x).otherwise(F.floor(x).cast("double"))
+
+
+def up(x: Column) -> Column:
+    return -down(-x)
+
+
 def _scaled(x, digits, cut) -> Column:
     power = F.pow(F.lit(10.0), dbl(digits))
     x = dbl(x)
@@ -19,17 +28,17 @@ def _scaled(x, digits, cut) -> Column:
 @fn("ROUND")
 def round_half_away(x, digits=0) -> Column:
     """Half away from zero, computed on the binary number."""
-    return _scaled(x, digits, lambda v: F.floor(v + 0.5))
+    return _scaled(x, digits, lambda v: down(v + 0.5))
 
 
 @fn("ROUNDUP")
 def round_up(x, digits=0) -> Column:
-    return _scaled(x, digits, F.ceil)
+    return _scaled(x, digits, up)
 
 
 @fn("ROUNDDOWN", "TRUNC")
 def round_down(x, digits=0) -> Column:
-    return _scaled(x, digits, F.floor)
+    return _scaled(x, digits, down)
 
 
 @fn("MROUND")
@@ -40,7 +49,7 @@ def mround(x, multiple) -> Column:
 
 @fn("INT")
 def integer(x) -> Column:
-    return F.floor(dbl(x)).cast("double")
+    return down(dbl(x)).cast("double")
 
 
 def _steps(x: Column, step: Column, cut) -> Column:
@@ -50,53 +59,53 @@ def _steps(x: Column, step: Column, cut) -> Column:
 @fn("CEILING.MATH")
 def ceiling_math(x, significance=1, mode=0) -> Column:
     x, s = dbl(x), F.abs(dbl(significance))
-    return F.when((x < 0) & (dbl(mode) != 0), _steps(x, s, F.floor)).otherwise(_steps(x, s, F.ceil))
+    return F.when((x < 0) & (dbl(mode) != 0), _steps(x, s, down)).otherwise(_steps(x, s, up))
 
 
 @fn("FLOOR.MATH")
 def floor_math(x, significance=1, mode=0) -> Column:
     x, s = dbl(x), F.abs(dbl(significance))
-    return F.when((x < 0) & (dbl(mode) != 0), _steps(x, s, F.ceil)).otherwise(_steps(x, s, F.floor))
+    return F.when((x < 0) & (dbl(mode) != 0), _steps(x, s, up)).otherwise(_steps(x, s, down))
 
 
 @fn("CEILING")
 def ceiling(x, significance) -> Column:
     x, s = dbl(x), dbl(significance)
-    return only(~((x > 0) & (s < 0)), _steps(x, s, F.ceil))
+    return only(~((x > 0) & (s < 0)), _steps(x, s, up))
 
 
 @fn("FLOOR")
 def floor(x, significance) -> Column:
     x, s = dbl(x), dbl(significance)
-    return only((s != 0) & ~((x > 0) & (s < 0)), _steps(x, s, F.floor))
+    return only((s != 0) & ~((x > 0) & (s < 0)), _steps(x, s, down))
 
 
 @fn("CEILING.PRECISE", "ISO.CEILING")
 def ceiling_precise(x, significance=1) -> Column:
-    return _steps(dbl(x), F.abs(dbl(significance)), F.ceil)
+    return _steps(dbl(x), F.abs(dbl(significance)), up)
 
 
 @fn("FLOOR.PRECISE")
 def floor_precise(x, significance=1) -> Column:
-    return _steps(dbl(x), F.abs(dbl(significance)), F.floor)
+    return _steps(dbl(x), F.abs(dbl(significance)), down)
 
 
 @fn("EVEN")
 def even(x) -> Column:
-    return F.signum(dbl(x)) * F.ceil(F.abs(dbl(x)) / 2).cast("double") * 2
+    return F.signum(dbl(x)) * up(F.abs(dbl(x)) / 2).cast("double") * 2
 
 
 @fn("ODD")
 def odd(x) -> Column:
     x = dbl(x)
-    return F.when(x == 0, 1.0).otherwise(F.signum(x) * (F.ceil((F.abs(x) - 1) / 2).cast("double") * 2 + 1))
+    return F.when(x == 0, 1.0).otherwise(F.signum(x) * (up((F.abs(x) - 1) / 2).cast("double") * 2 + 1))
 
 
 @fn("MOD")
 def mod(x, divisor) -> Column:
     """Has the divisor's sign."""
     x, d = dbl(x), F.nullif(dbl(divisor), F.lit(0.0))
-    return x - d * F.floor(x / d)
+    return x - d * down(x / d)
 
 
 @fn("QUOTIENT")

@@ -115,6 +115,45 @@ def forecast(at, y: Column, x: Column) -> Column:
     return F.regr_intercept(y, x) + F.regr_slope(y, x) * dbl(at)
 
 
+def trend(at, y: Column, x: Column) -> Column:
+    """TREND of one known x: the fitted line's value at ``at``."""
+    return forecast(at, y, x)
+
+
+def linest(y: Column, x: Column) -> dict[str, Column]:
+    """LINEST of one known x: slope and intercept, their errors, r squared, the error of y, F, freedom and both sums of squares."""
+    n, sxx, sxy, syy = F.regr_count(y, x).cast("double"), F.regr_sxx(y, x), F.regr_sxy(y, x), F.regr_syy(y, x)
+    explained = F.pow(sxy, F.lit(2)) / F.nullif(sxx, F.lit(0.0))
+    left, freedom = syy - explained, F.nullif(n - 2, F.lit(0.0))
+    error = F.sqrt(left / freedom)
+    mean = F.regr_avgx(y, x)
+    return {
+        "slope": F.regr_slope(y, x),
+        "intercept": F.regr_intercept(y, x),
+        "slope_error": error / F.sqrt(sxx),
+        "intercept_error": error * F.sqrt(1 / n + mean * mean / sxx),
+        "r_squared": F.regr_r2(y, x),
+        "y_error": error,
+        "f": explained / (left / freedom),
+        "freedom": n - 2,
+        "explained": explained,
+        "residual": left,
+    }
+
+
+def covariance_p(x: Column, y: Column) -> Column:
+    """COVARIANCE.P and COVAR."""
+    return F.covar_pop(x, y)
+
+
+def rsq(y: Column, x: Column) -> Column:
+    return F.regr_r2(y, x)
+
+
+def skew_p(x: Column) -> Column:
+    return F.when(F.count(x) > 2, F.skewness(x))
+
+
 def steyx(y: Column, x: Column) -> Column:
     n = F.regr_count(y, x)
     left = F.regr_syy(y, x) - F.pow(F.regr_sxy(y, x), F.lit(2)) / F.nullif(F.regr_sxx(y, x), F.lit(0.0))
@@ -248,6 +287,28 @@ def averages(df: DataFrame, x: str) -> DataFrame:
     return df.crossJoin(F.broadcast(mean)).agg(F.avg(F.abs(F.col(x) - F.col("mean"))).alias("avedev"))  # one row
 
 
+def percentiles(df: DataFrame, x: str, exclusive: bool = False, **shares: float) -> DataFrame:
+    """PERCENTILE.INC (or .EXC) of a whole table: one row with a column for each share.
+
+    Distinct values are counted and ordered by range; a share's two values are
+    picked by rank, so no task sees more than its range.
+    """
+    counts = df.where(F.col(x).isNotNull()).groupBy(F.col(x).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    ordered = running_total(counts, "_x", "_n")
+    total = ordered.agg(F.sum("_n").alias("_all"))
+    ordered = ordered.crossJoin(F.broadcast(total))  # one row
+    rank = {name: (F.col("_all") + 1) * share - 1 if exclusive else (F.col("_all") - 1) * share for name, share in shares.items()}
+    picked = [F.min(F.when(F.col("upto") > F.floor(r) + k, F.col("_x"))).alias(f"{name}_{k}") for name, r in rank.items() for k in (0, 1)]
+    found = ordered.agg(F.max("_all").alias("_all"), *picked)
+
+    def between(name: str, r: Column) -> Column:
+        low, high = F.col(f"{name}_0"), F.col(f"{name}_1")
+        value = low + (r - F.floor(r)) * (F.coalesce(high, low) - low)
+        return F.when((r >= 0) & (r <= F.col("_all") - 1), value) if exclusive else value
+
+    return found.select(*[between(name, r).alias(name) for name, r in rank.items()])
+
+
 def trimmed_mean(df: DataFrame, x: str, share: float) -> DataFrame:
     """TRIMMEAN: the mean without the same number of rows at either end, found by rank bounds of values."""
     counts = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count(F.lit(1)).alias("n"))

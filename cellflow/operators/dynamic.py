@@ -98,6 +98,23 @@ def to_column(df: DataFrame, order: str, ignore_blank: bool = False) -> DataFram
     return cells.where("value IS NOT NULL") if ignore_blank else cells
 
 
+def to_row(df: DataFrame, order: str, ignore_blank: bool = False) -> DataFrame:
+    """TOROW: all cells, row by row, as ``(_cell, value)``, numbered along one row from 1."""
+    width = len(df.columns) - 1
+    cells = to_column(df, order).select(((F.col("_row") - 1) * width + F.col("_column") + 1).alias("_cell"), "value")
+    return numbered(cells.where("value IS NOT NULL").withColumnRenamed("_cell", "_at"), "_at", name="_cell").select("_cell", "value") if ignore_blank else cells
+
+
+def wrap_columns(df: DataFrame, value: str, order: str, height: int, pad=None) -> DataFrame:
+    """WRAPCOLS: a column laid out in columns of ``height`` cells, as ``(_line, _column, value)``; there may be any number of columns."""
+    at = numbered(df.select(value, order), order).select(((F.col("_row") - 1) % height + 1).alias("_line"), (F.floor((F.col("_row") - 1) / height) + 1).alias("_column"), F.col(value).alias("value"))
+    if pad is None:
+        return at
+    last = at.agg(F.max("_column").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    missing = last.select(F.explode(F.sequence((F.col("_n") - 1) % height + 2, F.lit(height).cast("long") + 1)).alias("_line"), F.col("_last").alias("_column")).where(F.col("_line") <= height)
+    return at.unionByName(missing.withColumn("value", F.lit(pad).cast(dict(at.dtypes)["value"])))
+
+
 def wrap_rows(df: DataFrame, value: str, order: str, width: int, pad=None) -> DataFrame:
     """WRAPROWS: a column laid out in rows of ``width`` cells."""
     at = numbered(df.select(value, order), order).withColumn("_line", F.floor((F.col("_row") - 1) / width)).withColumn("_cell", (F.col("_row") - 1) % width)
@@ -189,6 +206,13 @@ def percent_rank(df: DataFrame, x: str, name: str = "percentrank") -> DataFrame:
     return out.withColumn(name, F.floor((F.col("_rank") - 1) / F.lit(max(n - 1, 1)) * 1000) / 1000).drop("_rank")
 
 
+def percent_rank_exc(df: DataFrame, x: str, name: str = "percentrank") -> DataFrame:
+    """PERCENTRANK.EXC of each row among all, cut to three digits."""
+    n = df.where(F.col(x).isNotNull()).count()
+    out = rank(df, x, descending=False, name="_rank")
+    return out.withColumn(name, F.floor(F.col("_rank") / F.lit(n + 1) * 1000) / 1000).drop("_rank")
+
+
 def column_letters(n: Column | int) -> Column:
     """A column's letters: 1 is A, 27 is AA; up to three letters."""
     n = F.lit(n) if isinstance(n, int) else n

@@ -123,7 +123,8 @@ def counts(spark, d):
 
 @query("percentile_inc", "SELECT quantile_cont(l_extendedprice, 0.25) AS q1, median(l_extendedprice) AS md, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90 FROM lineitem")
 def percentile_inc(spark, d):
-    return table(spark, d, "lineitem").agg(F.percentile("l_extendedprice", 0.25).alias("q1"), F.median("l_extendedprice").alias("md"), r6(F.percentile("l_extendedprice", 0.9)).alias("p90"))
+    found = A.percentiles(table(spark, d, "lineitem"), "l_extendedprice", q1=0.25, md=0.5, p90=0.9)
+    return found.select("q1", "md", r6(F.col("p90")).alias("p90"))
 
 
 @query("percentile_exc", "WITH s AS (SELECT p_brand, list(p_retailprice ORDER BY p_retailprice) AS v, count(*) AS n FROM part GROUP BY 1), r AS (SELECT *, 0.25 * (n + 1) AS k FROM s) SELECT p_brand, round(v[CAST(floor(k) AS INT)] + (k - floor(k)) * (v[CAST(floor(k) AS INT) + 1] - v[CAST(floor(k) AS INT)]), 6) AS v FROM r")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +39,39 @@ def detect_encoding(head: bytes) -> str:
     return "windows-1252"
 
 
-def head_of(spark: SparkSession, path: str, size: int = 65_536) -> bytes:
-    """The first bytes of the first file at a path that Spark can read."""
-    rows = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, size).alias("head")).orderBy("head").limit(1).collect()
-    return bytes(rows[0]["head"]) if rows else b""
+def first_bytes(spark: SparkSession, path: str, size: int = 65_536) -> bytes:
+    """The first bytes of the first file that isn't empty at a path or pattern, through Spark's own file system."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(context._jsc.hadoopConfiguration())
+    todo = sorted(system.globStatus(where) or [], key=lambda s: s.getPath().toString(), reverse=True)
+    while todo:
+        at = todo.pop()
+        if at.getPath().getName()[0] in "_." and at.getPath().toString() != where.toString():
+            continue
+        if at.isDirectory():
+            todo += sorted(system.listStatus(at.getPath()), key=lambda s: s.getPath().toString(), reverse=True)
+        elif at.getLen():
+            stream = system.open(at.getPath())
+            try:
+                return bytes(stream.readNBytes(size))
+            finally:
+                stream.close()
+    return b""
+
+
+def detect_format(head: bytes) -> str:
+    """What a file is by its first bytes: xlsx, xls, html, json, markdown or csv."""
+    if head.startswith(b"PK\x03\x04"):
+        return "xlsx"
+    if head.startswith(b"\xd0\xcf\x11\xe0"):
+        return "xls"
+    start = head.decode(detect_encoding(head), "replace").lstrip("\ufeff \t\r\n")
+    if re.match(r"(?i)<(!doctype html|html|table|body|head)\b", start):
+        return "html"
+    if start[:1] in ("{", "["):
+        return "json"
+    return "markdown" if re.search(r"(?m)^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-+:?\s*)*\|?\s*$", start) and "|" in start else "csv"
 
 
 #: Encodings that Spark's reader takes itself.
@@ -57,13 +88,17 @@ def recoded(x: Column, encoding: str) -> Column:
     return run(x)
 
 
-def read_csv(spark: SparkSession, path: str, header: bool = True, delimiter: str | None = None, encoding: str | None = None, infer: bool = False, skip_blank: bool = True) -> DataFrame:
-    """All columns as text, or with ``infer`` by the conservative rules of ``typed``."""
-    head = head_of(spark, path) if delimiter is None or encoding is None else b""
+def read_csv(spark: SparkSession, path: str, header: bool = True, delimiter: str | None = None, encoding: str | None = None, infer: bool = False, skip_blank: bool = True, one_line: bool = False) -> DataFrame:
+    """All columns as text, or with ``infer`` by the conservative rules of ``typed``.
+
+    Cells may hold line ends, so a file is read by one task; promise with
+    ``one_line`` that none does, and large files are split.
+    """
+    head = first_bytes(spark, path) if delimiter is None or encoding is None else b""
     encoding = encoding or detect_encoding(head)
     delimiter = delimiter or detect_delimiter(head.decode(encoding, "replace").lstrip("\ufeff"))
     native = encoding.lower() in NATIVE
-    rows = spark.read.csv(path, header=header, sep=delimiter, encoding=encoding if native else "ISO-8859-1", multiLine=encoding.startswith("UTF-16"), quote='"', escape='"', mode="PERMISSIVE")
+    rows = spark.read.csv(path, header=header, sep=delimiter, encoding=encoding if native else "ISO-8859-1", multiLine=not one_line or encoding.upper().startswith("UTF-16"), quote='"', escape='"', mode="PERMISSIVE")
     if not native:
         rows = rows.select(*[recoded(F.col(f"`{c}`"), encoding).alias(c.encode("latin-1").decode(encoding, "replace")) for c in rows.columns])
     rows = rows.toDF(*[c.lstrip("\ufeff") for c in rows.columns])
@@ -88,5 +123,17 @@ def infer_cell(x: Column) -> Column:
     return F.when(F.trim(x) == "", None).when(F.lower(x).isin("true", "false"), "b").when(x.rlike(number), "n").otherwise("t")
 
 
-def write_csv(df: DataFrame, path: str, header: bool = True, delimiter: str = ",", encoding: str = "UTF-8", mode: str = "error") -> None:
-    df.write.csv(path, header=header, sep=delimiter, encoding=encoding, quote='"', escape='"', mode=mode)
+def write_csv(df: DataFrame, path: str, header: bool = True, delimiter: str = ",", encoding: str = "UTF-8", mode: str = "error", line_end: str = "\n", mark: bool = False) -> None:
+    """One file a task; ``mark`` puts a byte order mark before each (as part of its first line)."""
+    if mark:
+        first = df.columns[0] if header else None
+        df = df.withColumnRenamed(first, "\ufeff" + first) if header else df
+    if encoding.lower() not in NATIVE:
+
+        @F.pandas_udf("string")
+        def bytes_as_text(values: pd.Series) -> pd.Series:
+            return values.map(lambda v: v if v is None else v.encode(encoding, "replace").decode("latin-1"))
+
+        df = df.select(*[bytes_as_text(F.col(f"`{c}`").cast("string")).alias(c.encode(encoding, "replace").decode("latin-1")) for c in df.columns])
+        encoding = "ISO-8859-1"
+    df.write.csv(path, header=header, sep=delimiter, encoding=encoding, quote='"', escape='"', lineSep=line_end, mode=mode)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+import json
 import re
 from html.parser import HTMLParser
 
@@ -62,7 +64,9 @@ class _Tables(HTMLParser):
 
     @staticmethod
     def _span(given, name) -> int:
-        return max(1, int(given[name])) if (given.get(name) or "").isdigit() else 1
+        """As HTML limits it: 1,000 columns and 65,534 rows."""
+        value = (given.get(name) or "").strip()
+        return max(1, min(int(value[:9]), 1000 if name == "colspan" else 65_534)) if value.isdecimal() else 1
 
     def _close(self):
         if not self.cell or not self.open or not self.open[-1]["rows"]:
@@ -71,13 +75,11 @@ class _Tables(HTMLParser):
         table = self.open[-1]
         row, at = table["rows"][-1], len(table["rows"]) - 1
         column = 0
-        while column in row or table["held"].get((at, column)):
+        while column in row or table["held"].get(column, -1) >= at:
             column += 1
         row[column] = " ".join("".join(parts).split(" ")).strip()
-        for r in range(height):
-            for c in range(width):
-                if r or c:
-                    table["held"][at + r, column + c] = True
+        for c in range(width):  # the last row that each column is held to
+            table["held"][column + c] = max(table["held"].get(column + c, -1), at + height - 1)
         self.cell = None
 
     def handle_endtag(self, tag):
@@ -106,6 +108,38 @@ def html_tables(text: str) -> list[tuple[str, list[dict[int, str]]]]:
     return [(t["name"].strip(), t["rows"]) for t in parser.done]
 
 
+def json_tables(text: str) -> list[tuple[str, list[list[str | None]]]]:
+    """Tables of a JSON document: an array of objects or of arrays, or ``{"tables": [{"name": ..., "rows": ...}]}``.
+
+    Objects give a header row of all their keys, in the order they appear; nested values stay JSON.
+    """
+
+    def shown(v) -> str | None:
+        return v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+
+    def grid(rows) -> list[list[str | None]]:
+        if rows and all(isinstance(r, dict) for r in rows):
+            keys = list(dict.fromkeys(k for r in rows for k in r))
+            return [list(keys), *([shown(r.get(k)) for k in keys] for r in rows)]
+        return [[shown(v) for v in r] if isinstance(r, list) else [shown(r)] for r in rows]
+
+    try:
+        found = json.loads(text)
+    except ValueError:
+        return []
+    if isinstance(found, dict) and isinstance(found.get("tables"), list):
+        out = []
+        for one in found["tables"]:
+            name, rows = (one.get("name") or "", one.get("rows") or []) if isinstance(one, dict) else ("", one)
+            head = one.get("columns") or one.get("headers") if isinstance(one, dict) else None
+            out.append((str(name), ([[shown(v) for v in head]] if head else []) + grid(rows if isinstance(rows, list) else [])))
+        return out
+    return [("", grid(found if isinstance(found, list) else [found]))]
+
+
+READERS = {"markdown": gfm_tables, "html": lambda text: html_tables(text), "json": json_tables}
+
+
 def table_cells(docs: DataFrame, id_col: str, text_col: str, kind: str) -> DataFrame:
     """Cells of all tables in each document, as ``CELLS``; documents without a table give none."""
 
@@ -113,7 +147,7 @@ def table_cells(docs: DataFrame, id_col: str, text_col: str, kind: str) -> DataF
         for frame in frames:
             out = []
             for doc, text in zip(frame["doc"], frame["text"], strict=True):
-                for t, (name, rows) in enumerate((gfm_tables if kind == "markdown" else html_tables)(text)):
+                for t, (name, rows) in enumerate(READERS[kind](text)):
                     for r, row in enumerate(rows):
                         for c, value in row.items() if isinstance(row, dict) else enumerate(row):
                             out.append((doc, t, name, r, c, value))
@@ -129,19 +163,51 @@ def escaped_html(x: Column) -> Column:
     return out
 
 
+def html_row(columns: list[str]) -> Column:
+    return F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), escaped_html(F.col(f"`{c}`")), F.lit("</td>")) for c in columns], F.lit("</tr>"))
+
+
+def markdown_row(columns: list[str]) -> Column:
+    """Pipes and line ends inside cells are escaped."""
+    cells = [F.replace(F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>")) for c in columns]
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+
+
+def json_row(columns: list[str]) -> Column:
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"})
+
+
 def html_rows(df: DataFrame) -> DataFrame:
     """A ``<tr>`` line for each row."""
-    return df.select(F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), escaped_html(F.col(c)), F.lit("</td>")) for c in df.columns], F.lit("</tr>")).alias("value"))
+    return df.select(html_row(df.columns).alias("value"))
 
 
 def markdown_rows(df: DataFrame) -> DataFrame:
-    """A pipe-table line for each row; pipes and line ends inside cells are escaped."""
-    cells = [F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>")) for c in df.columns]
-    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+    """A pipe-table line for each row."""
+    return df.select(markdown_row(df.columns).alias("value"))
 
 
 def json_rows(df: DataFrame) -> DataFrame:
-    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    return df.select(json_row(df.columns).alias("value"))
+
+
+def documents(df: DataFrame, key: str, order: str, kind: str, title: str = "") -> DataFrame:
+    """``(doc_id, text)``: a whole document with one table for each value of ``key``; rows in ``order``, header first.
+
+    A document is one string, so a key should have no more rows than fit one file.
+    """
+    columns = [c for c in df.columns if c != key]
+    if kind == "markdown":
+        line, row = markdown_row, "| " + " | ".join(c.replace("|", "\\|") for c in columns) + " |\n|" + " --- |" * len(columns) + "\n"
+        start, between, end = (f"## {title}\n\n" if title else "") + row, "\n", "\n"
+    elif kind == "html":
+        line, names = html_row, "".join(f"<th>{html.escape(c)}</th>" for c in columns)
+        start, between, end = f"<table><caption>{html.escape(title)}</caption>\n<tr>{names}</tr>\n", "\n", "\n</table>\n"
+    else:
+        line, (start, between, end) = json_row, ('{"tables": [{"name": ' + json.dumps(title) + ', "rows": [', ", ", "]}]}")
+    value = line(columns)
+    made = df.groupBy(F.col(key).cast("long").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))).alias("rows"))
+    return made.select("doc_id", F.concat(F.lit(start), F.array_join(F.transform("rows", lambda r: r["v"]), between), F.lit(end)).alias("text"))
 
 
 def filled_template(df: DataFrame, template: str) -> DataFrame:

@@ -153,3 +153,27 @@ def test_rows(spark):
     assert [tuple(map(str, r)) for r in got.collect()] == [("a", "2024-02-29", "True", "7", "1234.5", "None"), ("b", "2024-01-01", "False", "None", "-1.0", "None")]
     assert [tuple(r) for r in failures(df, fields).collect()] == [("number", "x")]
     assert map_rows(df, fields, include=["date"]).columns == ["date"]
+
+
+def test_formats_and_dates():
+    assert [csv.detect_format(h) for h in (b"PK\x03\x04x", b"\xd0\xcf\x11\xe0", b" <table><tr>", b'[{"a": 1}]', b"| a | b |\n|---|---|\n", b"a,b\n1,2\n")] == ["xlsx", "xls", "html", "json", "markdown", "csv"]
+    assert [xlsx.is_date_format(f) for f in ("yyyy-mm-dd", "[h]:mm", '0.00"days"', "General", "#,##0", "[Red]0.0", "d/m/yy")] == [True, True, False, False, False, False, True]
+    assert [xlsx.serial_text(v, e) for v, e in (("45292", False), ("1", False), ("61", False), ("45292.5", False), ("0", True), ("x", False), ("-1", False))] == ["2024-01-01", "1900-01-01", "1900-03-01", "2024-01-01 12:00:00", "1904-01-01", "x", "-1"]
+
+
+def test_json_tables():
+    assert markup.json_tables('[{"a": 1, "b": "x"}, {"b": null, "c": [1]}]') == [("", [["a", "b", "c"], ["1", "x", None], [None, None, "[1]"]])]
+    assert markup.json_tables('{"tables": [{"name": "t", "columns": ["p"], "rows": [["007"]]}, {"rows": []}]}') == [("t", [["p"], ["007"]]), ("", [])]
+    assert markup.json_tables("no json") == []
+
+
+def test_spans_are_bounded():
+    (name, rows), = markup.html_tables('<table><tr><td rowspan="999999999" colspan="999999999">a</td></tr><tr><td>b</td></tr></table>')
+    assert rows == [{0: "a"}, {1000: "b"}]
+
+
+def test_csv_line_ends_inside_cells(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('s,n\n"x\ny",1\nz,2\n')
+    assert [tuple(r) for r in csv.read_csv(spark, str(tmp_path / "a.csv")).collect()] == [("x\ny", "1"), ("z", "2")]
+    assert csv.first_bytes(spark, str(tmp_path), 3) == b"s,n"
+    assert csv.first_bytes(spark, str(tmp_path / "none*")) == b""
