@@ -23,6 +23,9 @@ from cellflow.llm._shared import doc_columns
 
 FOUND = "doc_id bigint, item_id bigint, edits int, item_words int, first_word bigint, last_word bigint"
 
+#: Bytes of text read at a time; each slice has a fixed cost.
+SLICE = 2_500_000
+
 
 class Item:
     def __init__(self, item_id: int, words: np.ndarray, similarity: float):
@@ -195,7 +198,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75,
             index = Index(*sent.value)
             for batch in batches:
                 names = batch.column(0)
-                for row, n in _text.slices(batch.column(1)):
+                for row, n in _text.slices(batch.column(1), SLICE):
                     hashes, _, _, bounds, _ = _text.words_of(batch.column(1).slice(row, n), _text.ALNUM)
                     found = index.find(hashes, bounds)
                     if found:
