@@ -248,17 +248,22 @@ def reader_of(model: dict) -> Reader:
     return _readers[mark]
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 0.3, rounds: int = 40) -> np.ndarray:
-    """Squared-hinge linear support vector machine by Newton steps; the last weight is the bias."""
-    x = np.concatenate([x, np.ones((len(x), 1))], 1)
+def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 0.3, rounds: int = 40, block: int = 8192) -> np.ndarray:
+    """Squared-hinge linear support vector machine by Newton steps, on blocks of rows; the last weight is the bias."""
     sign = np.where(y > 0, 1.0, -1.0)
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-6
     for _ in range(rounds):
-        active = sign * (x @ w) < 1
-        a = x[active]
-        new = np.linalg.solve(ridge + 2 * cost * a.T @ a, 2 * cost * a.T @ sign[active])
+        matrix, goal = ridge.copy(), np.zeros(len(w))
+        for k in range(0, len(x), block):
+            part = np.concatenate([x[k : k + block], np.ones((len(x[k : k + block]), 1))], 1, dtype=np.float64)
+            own = sign[k : k + block]
+            active = own * (part @ w) < 1
+            part, own = part[active], own[active]
+            matrix += 2 * cost * part.T @ part
+            goal += 2 * cost * part.T @ own
+        new = np.linalg.solve(matrix, goal)
         if np.allclose(new, w, atol=1e-7):
             break
         w = new
@@ -293,9 +298,9 @@ def learn(marks: Landmarks, x: np.ndarray, doc: np.ndarray, toxic: np.ndarray, f
     learned in disguise too, each in ``beside`` sentences of documents that aren't.
     """
     rng, root = np.random.default_rng(seed), marks.root()
-    image, value = x @ root, x[:, :first].max(1)
+    image, value = x @ root.astype(np.float32), x[:, :first].max(1)
     calm = np.flatnonzero(~toxic)
-    extra = np.zeros((0, x.shape[1]))
+    extra = np.zeros((0, x.shape[1]), np.float32)
     order = np.lexsort((value, doc))
     for _ in range(rounds):
         worst = order[np.flatnonzero(np.append(np.diff(doc[order]) != 0, True))]  # the highest value of each document
@@ -309,12 +314,12 @@ def learn(marks: Landmarks, x: np.ndarray, doc: np.ndarray, toxic: np.ndarray, f
         rude = [marks.words[i] for i in np.flatnonzero(own[:first] > 0.5).tolist()]
         shapes = [w for word in rude for w in disguised(word, rng)]
         if shapes and len(calm):
-            extra = np.repeat(marks.compare(shapes) @ root, beside, 0) + image[rng.choice(calm, beside * len(shapes))]
+            extra = np.repeat(marks.compare(shapes) @ root.astype(np.float32), beside, 0) + image[rng.choice(calm, beside * len(shapes))]
     worst = order[np.flatnonzero(np.append(np.diff(doc[order]) != 0, True))]
     return {"words": marks.words, "beta": (root @ weights[:-1]), "bias": weights[-1], "scale": fit_scale(value[worst], toxic[worst])}
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, n_landmarks: int = 96, per_text: int = 6) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, n_landmarks: int = 96, per_text: int = 3) -> dict:
     """Learn from about ``sample`` labelled documents at most, chosen by hash of their id.
 
     Two landmarks in three are the words that speak most for label 1, the rest
@@ -367,11 +372,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, n_landmarks: i
 
     got = texts.mapInArrow(read, "toxic int, row bigint, x binary").toPandas()  # 2 * per_text rows of each sampled document at most
     got = got.sort_values(["row", "toxic", "x"])  # the order of rows from Spark isn't fixed
-    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, len(marks.words)).astype(np.float64)
-    y = got["toxic"].to_numpy() > 0
+    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, len(marks.words))
+    y, rows_of = got["toxic"].to_numpy() > 0, got["row"].to_numpy()
     if not y.any() or y.all():
         return nothing
-    return learn(marks, x, got["row"].to_numpy(), y, first)
+    del got
+    return learn(marks, x, rows_of, y, first)
 
 
 def score(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
