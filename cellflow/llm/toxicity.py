@@ -319,7 +319,7 @@ def learn(marks: Landmarks, x: np.ndarray, doc: np.ndarray, toxic: np.ndarray, f
     return {"words": marks.words, "beta": (root @ weights[:-1]), "bias": weights[-1], "scale": fit_scale(value[worst], toxic[worst])}
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, n_landmarks: int = 96, per_text: int = 3) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, n_landmarks: int = 96, per_text: int = 4) -> dict:
     """Learn from about ``sample`` labelled documents at most, chosen by hash of their id.
 
     Two landmarks in three are the words that speak most for label 1, the rest
