@@ -17,6 +17,8 @@ CELLS = "path string, sheet string, row_no int, column_no int, kind string, valu
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 LINKS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
+ROW, VALUE, TEXT = f"{MAIN}row", f"{MAIN}v", f"{MAIN}t"
+
 
 def column_number(reference: str) -> int:
     n = 0
@@ -83,30 +85,28 @@ def workbook_cells(content: bytes, wanted: str | int | None = None, first: int =
             if wanted is not None and wanted not in (sheet, number):
                 continue
             at_row = -1
-            for event, node in ElementTree.iterparse(z.open(part), ("start", "end")):
-                if event == "start":
-                    if node.tag == f"{MAIN}row":
-                        at_row, at_column = int(node.get("r", at_row + 2)) - 1, -1
-                        if last is not None and at_row > last:
-                            break
+            for _, node in ElementTree.iterparse(z.open(part), ("end",)):
+                if node.tag != ROW:
                     continue
-                if node.tag == f"{MAIN}c":
-                    at_column = column_number(node.get("r")) if node.get("r") else at_column + 1
-                    kind, body = node.get("t", "n"), node.find(f"{MAIN}v")
-                    if at_row < first:
-                        continue
+                at_row = int(node.get("r", at_row + 2)) - 1
+                if last is not None and at_row > last:
+                    break
+                at_column = -1
+                for c in node if at_row >= first else ():
+                    at_column = column_number(c.get("r")) if c.get("r") else at_column + 1
+                    kind = c.get("t", "n")
                     if kind == "inlineStr":
-                        value, kind = "".join(t.text or "" for t in node.iter(f"{MAIN}t")), "t"
-                    elif body is None or body.text is None:
-                        continue
+                        value, kind = "".join(t.text or "" for t in c.iter(TEXT)), "t"
                     else:
+                        body = c.find(VALUE)
+                        if body is None or body.text is None:
+                            continue
                         value = shared[int(body.text)] if kind == "s" else body.text
                         kind = {"s": "t", "str": "t", "b": "b", "e": "e", "d": "d"}.get(kind, "n")
-                        if kind == "n" and int(node.get("s") or 0) in dates:
+                        if kind == "n" and int(c.get("s") or 0) in dates:
                             kind, value = "d", serial_text(value, epoch_1904)
                     yield sheet, at_row, at_column, kind, value
-                elif node.tag == f"{MAIN}row":
-                    node.clear()
+                node.clear()
 
 
 def cells_of(files: DataFrame, sheet: str | int | None = None, first_row: int = 0, last_row: int | None = None, epoch_1904: bool | None = None) -> DataFrame:
