@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cellflow.functions.core import fold
 from cellflow.operators.ordinal import numbered
 
 
@@ -164,6 +166,36 @@ def scan(df: DataFrame, value: str, order: str, name: str = "value") -> DataFram
     return running_total(df, order, value).withColumnRenamed("upto", name)
 
 
+def map_cells(df: DataFrame, name: str, step: Callable[..., Column], *columns: str) -> DataFrame:
+    """MAP: a column made of others, cell by cell."""
+    return df.withColumn(name, step(*[F.col(c) for c in columns]))
+
+
+def reduce_row(values: Column, start: float, step: Callable[[Column, Column], Column]) -> Column:
+    """REDUCE over the cells of a row, an array: the last value of a left fold of numbers."""
+    return fold(values, F.lit(float(start)), lambda so_far, x: step(so_far, x).cast("double"))
+
+
+def scan_row(values: Column, start: float, step: Callable[[Column, Column], Column]) -> Column:
+    """SCAN over the cells of a row, an array: all values of a left fold of numbers."""
+
+    def add(state: Column, x: Column) -> Column:
+        value = step(state["last"], x).cast("double")
+        return F.struct(value.alias("last"), F.concat(state["all"], F.array(value)).alias("all"))
+
+    first = F.struct(F.lit(float(start)).alias("last"), F.array().cast("array<double>").alias("all"))
+    return F.aggregate(values, first, add, lambda state: state["all"])
+
+
+def outer(df: DataFrame, value: str, across: list, step: Callable[[Column, Column], Column], name: str = "value") -> DataFrame:
+    """A column against a line of values, each with each: a row for each cell, its ``_column`` from 0.
+
+    The line is a Python list, so a row only grows by its length and nothing is joined.
+    """
+    cells = F.array(*[step(F.col(value), F.lit(v)) for v in across])
+    return df.select("*", F.posexplode(cells).alias("_column", name))
+
+
 def large_small(df: DataFrame, x: str, k: int, largest: bool = True) -> DataFrame:
     """LARGE and SMALL over a table: the last of the top k; no row beyond the count."""
     key = F.col(x).desc() if largest else F.col(x).asc()

@@ -191,12 +191,14 @@ def json_rows(df: DataFrame) -> DataFrame:
     return df.select(json_row(df.columns).alias("value"))
 
 
-def documents(df: DataFrame, key: str, order: str, kind: str, title: str = "") -> DataFrame:
+def documents(df: DataFrame, key: str, order: str, kind: str, title: str = "", hidden: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, text)``: a whole document with one table for each value of ``key``; rows in ``order``, header first.
 
+    Columns in ``hidden`` are not shown.
+
     A document is one string, so a key should have no more rows than fit one file.
     """
-    columns = [c for c in df.columns if c != key]
+    columns = [c for c in df.columns if c != key and c not in hidden]
     if kind == "markdown":
         line, row = markdown_row, "| " + " | ".join(c.replace("|", "\\|") for c in columns) + " |\n|" + " --- |" * len(columns) + "\n"
         start, between, end = (f"## {title}\n\n" if title else "") + row, "\n", "\n"

@@ -37,6 +37,6 @@ def test_against_sql(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.startswith(("fn_", "file_"))))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.startswith(("fn_", "file_", "rows_", "stream_", "import_", "export_"))))
 def test_families_and_files_against_sql(spark, name):
     test_against_sql(spark, name)
