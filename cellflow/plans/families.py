@@ -22,6 +22,8 @@ class _Row:
 t = _Row()
 #: A result's name, its column, and its SQL; numbers are rounded on both sides unless the name ends in ``_``.
 Cell = tuple[str, Callable[[], Column], str]
+#: Results that are dates; both sides give them as text.
+DATES = {"date_", "workday_", "workday_intl_", "coupncd_", "couppcd_"}
 
 
 def f(name: str, *args) -> Callable[[], Column]:
@@ -36,11 +38,14 @@ def c(name: str) -> Callable[[], Column]:
 def family(name: str, source: str, columns: str, cells: list[Cell], places: int = 6) -> None:
     """Register one query: ``columns`` are expressions that Spark and DuckDB read alike, the first one the key ``k``."""
 
+    def out(n: str, value: Column) -> Column:
+        return value.cast("string") if n in DATES else value if n.endswith("_") else F.round(value.cast("double"), places) + 0.0  # no negative zero
+
     def run(spark, d):
         rows = table(spark, d, source).selectExpr(*[x.strip() for x in columns.split(";")])
-        return rows.select("k", *[(make() if n.endswith("_") else F.round(make(), places)).alias(n) for n, make, _ in cells])
+        return rows.select("k", *[out(n, make()).alias(n) for n, make, _ in cells])
 
-    shown = ", ".join(f"{s} AS {n}" if n.endswith("_") else f"round({s}, {places}) AS {n}" for n, _, s in cells)
+    shown = ", ".join(f"CAST(CAST({s} AS DATE) AS VARCHAR) AS {n}" if n in DATES else f"{s} AS {n}" if n.endswith("_") else f"round(CAST({s} AS DOUBLE), {places}) + 0 AS {n}" for n, _, s in cells)
     query(name, f"WITH t AS (SELECT {', '.join(columns.split(';'))} FROM {source}) SELECT k, {shown} FROM t")(run)
 
 
@@ -80,7 +85,7 @@ family(
         ("ceiling_away", f("CEILING.MATH", c("x"), 5, 1), "CASE WHEN x < 0 THEN floor(x / 5) ELSE ceil(x / 5) END * 5"),
         ("floor_toward", f("FLOOR.MATH", c("x"), 5, 1), "CASE WHEN x < 0 THEN ceil(x / 5) ELSE floor(x / 5) END * 5"),
         ("floor_", lambda: F.round(call("FLOOR", F.abs(t.x), 5), 6), "round(floor(abs(x) / 5) * 5, 6)"),
-        ("quotient", f("QUOTIENT", c("x"), 7), "trunc(x / 7)"),
+        ("quotient", f("QUOTIENT", c("x"), 7), "trunc(x / 7) + 0"),
         ("trunc_two", f("TRUNC", c("x"), 2), "trunc(x * 100) / 100"),
         ("gestep", f("GESTEP", c("x"), 100), "CASE WHEN x >= 100 THEN 1 ELSE 0 END"),
         ("delta", f("DELTA", c("n"), 7), "CASE WHEN n = 7 THEN 1 ELSE 0 END"),
@@ -386,12 +391,12 @@ _PARTS = [(name.lower(), part, take, sql.format(**_POLAR)) for name, (re, im, _)
 
 @query(
     "fn_complex",
-    "WITH t AS (SELECT p_partkey AS k, p_size / CAST(16 AS DOUBLE) AS a, (p_partkey % 8 + 1) / CAST(8 AS DOUBLE) AS b FROM part) SELECT k, "
+    "WITH t AS (SELECT p_partkey AS k, p_size / CAST(17 AS DOUBLE) AS a, (p_partkey % 8 + 1) / CAST(7 AS DOUBLE) AS b FROM part) SELECT k, "
     + ", ".join(f"round({sql}, 4) AS {name}_{part}" for name, part, _, sql in _PARTS)
     + " FROM t",
 )
 def fn_complex(spark, d):
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("k"), call("COMPLEX", F.col("p_size") / 16, (F.col("p_partkey") % 8 + 1) / 8).alias("z"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("k"), call("COMPLEX", F.col("p_size") / 17, (F.col("p_partkey") % 8 + 1) / 7).alias("z"))
     values = materialised(rows.select("k", *[call(name, t.z, *more).alias(name.lower()) for name, (_, _, more) in _COMPLEX.items()]))
     return values.select("k", *[F.round(call(take, F.col(name)), 4).alias(f"{name}_{part}") for name, part, take, _ in _PARTS])
 

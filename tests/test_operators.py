@@ -177,3 +177,23 @@ def test_csv_line_ends_inside_cells(spark, tmp_path):
     assert [tuple(r) for r in csv.read_csv(spark, str(tmp_path / "a.csv")).collect()] == [("x\ny", "1"), ("z", "2")]
     assert csv.first_bytes(spark, str(tmp_path), 3) == b"s,n"
     assert csv.first_bytes(spark, str(tmp_path / "none*")) == b""
+
+
+def test_cells_to_types_and_back(spark):
+    from cellflow.sources.rows import Field, chosen, converted, failures, stored, with_missing, within_limits
+
+    rows = spark.createDataFrame([("TRUE", "35065.25"), (" 7 ", "1996-01-01"), ("x", None)], "a string, b string")
+    got = rows.select(converted(F.col("a"), "int").alias("n"), converted(F.col("a"), "boolean").alias("t"), F.date_format(converted(F.col("b"), "timestamp"), "yyyy-MM-dd HH").alias("d")).collect()
+    assert [tuple(r) for r in got] == [(1, True, "1996-01-01 06"), (7, False, "1996-01-01 00"), (None, None, None)]
+    numbers = spark.createDataFrame([(1, True), (2, False), (None, None)], "n int, t boolean")
+    back = numbers.select(stored(F.col("n"), "int", "boolean").alias("b"), stored(F.col("t"), "boolean", "number").alias("x"), stored(F.col("t"), "boolean", "text").alias("s")).collect()
+    assert [tuple(r) for r in back] == [(True, 1.0, "TRUE"), (False, 0.0, "FALSE"), (None, None, None)]
+    fields = [Field("p", order=2), Field("q", order=1), Field("r", index=0)]
+    assert [f.name for f in chosen(fields)] == ["r", "q", "p"]
+    assert [f.name for f in chosen(fields, include_at=[2, 0], as_included=True)] == ["p", "r"]
+    assert {tuple(r) for r in failures(rows, [Field("b", "int", headers=("a",))]).collect()} == {("b", "x")}
+    assert with_missing(numbers.where("n = 2"), "n", 1, 3).where("t IS NULL").count() == 2
+    with pytest.raises(ValueError):
+        within_limits(numbers, columns=1)
+    with pytest.raises(Exception, match="more than 3 characters"):
+        within_limits(rows, characters=3).collect()
